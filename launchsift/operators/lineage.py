@@ -15,7 +15,6 @@ from launchsift.functions.constants import TEXT_UNKNOWN_TOKEN
 from launchsift.functions.text import blank_to_null
 
 PIPELINE_DEPTH = 4
-CUT_EVERY = 4
 
 
 def cut_plan(df: DataFrame) -> DataFrame:
@@ -43,24 +42,22 @@ def lineage(
 
     Each finding appears once per start at its smallest depth, unknown parents are
     skipped and cycles end.  ``starts`` has one column ``start_id``.  One join per level
-    serves all starts together; with ``max_depth=None`` levels are added until one is
-    empty.
+    serves all starts together.  Every level is written to the checkpoint folder, so the
+    plan does not grow with the depth and a lost executor costs one level; the walk ends
+    at ``max_depth`` or at the first empty level.
     """
     nodes = findings.select("msg_id", "upstream_ids")
     frontier = starts.select("start_id", F.col("start_id").alias("msg_id")).distinct()
     closed, depth = None, 0
     while True:
-        level = frontier.join(nodes, "msg_id").select(
-            "start_id", "msg_id", "upstream_ids", F.lit(depth).alias("depth")
+        level = cut_plan(
+            frontier.join(nodes, "msg_id").select(
+                "start_id", "msg_id", "upstream_ids", F.lit(depth).alias("depth")
+            )
         )
-        cut = max_depth is None or (depth and depth % CUT_EVERY == 0 and depth < max_depth)
-        if cut:
-            level = cut_plan(level)
         found = level.select("start_id", "msg_id", "depth")
         closed = found if closed is None else closed.unionByName(found)
-        if max_depth is None and level.isEmpty():
-            return closed
-        if max_depth is not None and depth == max_depth:
+        if depth == max_depth or level.isEmpty():
             return closed
         frontier = (
             level.select("start_id", F.explode("upstream_ids").alias("msg_id"))
