@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from launchsift.functions.constants import BLANKS
@@ -61,3 +61,12 @@ def model_tag(provider: Column, model: Column) -> Column:
 def compact(*items: Column) -> Column:
     """Array of the given expressions without the nulls."""
     return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds ``value`` as a column that later filters cannot pull apart.
+
+    The optimizer moves filters below a projection by copying the expressions they use,
+    which would parse a document once per use.  A one-element generator stops that.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -50,7 +50,7 @@ def anchored_windows(
     )
     id_type = hits.schema[id_col].dataType.simpleString()
 
-    def report(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def report(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         key_text, bucket = group
         times = np.sort(pdf["_at"].to_numpy())
         last, _ = _handover(times, period)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from launchsift.functions import schemas
-from launchsift.functions.text import micros
+from launchsift.functions.text import computed_once, micros
 from launchsift.operators.validate import validate_envelopes, validate_payload
 
 HOURS = 24
@@ -73,7 +73,7 @@ def parse_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:
     The thesis length is not checked here: the live view also shows short ones.
     """
     parsed = (
-        frames.select(F.from_json(frame, FRAME).alias("f")).select("f.*")
+        computed_once(frames, "_f", F.from_json(frame, FRAME)).select("_f.*")
         .filter(F.col("msg_id").isNotNull() & F.col("payload").isNotNull())
         .withColumn("agent", F.lit("narrator"))
     )
@@ -81,8 +81,10 @@ def parse_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:
     kept = validate_envelopes(parsed).filter(~bad_envelope).drop("errors", "agent")
     checked = validate_payload(kept, "brief")
     return (
-        checked.filter(F.size(F.array_except("errors", F.array(F.lit("thesis")))) == 0)
-        .withColumn("brief", F.from_json("payload", schemas.BRIEF))
+        computed_once(
+            checked.filter(F.size(F.array_except("errors", F.array(F.lit("thesis")))) == 0),
+            "brief", F.from_json("payload", schemas.BRIEF),
+        )
         .filter(F.col("brief.thesis").isNotNull())
         .drop("errors", "payload")
         .orderBy(F.col("created_at").desc(), F.col("msg_id").desc())

@@ -13,7 +13,7 @@ from launchsift.functions.constants import (
     UNKNOWN_SYMBOL,
 )
 from launchsift.functions.schemas import FEED_ITEM
-from launchsift.functions.text import blank_to_null, strip
+from launchsift.functions.text import blank_to_null, computed_once, strip
 from launchsift.operators.skew import skew_join
 
 REQUIRED = ("address", "creator", "name", "symbol")
@@ -31,12 +31,7 @@ def decode_feed_items(items: DataFrame, item: str = "item") -> DataFrame:
     for name in REQUIRED:
         present = present & F.array_contains(keys, name)
     value = F.from_json(text, FEED_ITEM)
-    rows = (
-        items.filter(text.startswith("{"))
-        .withColumn("_v", value)
-        .withColumn("_present", present)
-        .filter(F.col("_present"))
-    )
+    rows = computed_once(items.filter(text.startswith("{") & present), "_v", value)
     v = F.col("_v")
     required = {n: F.coalesce(v[n], F.lit("None")) for n in REQUIRED}
     liquidity_text = strip(F.coalesce(v["liquidityUsd"], F.lit("")))

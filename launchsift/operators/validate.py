@@ -22,7 +22,7 @@ from launchsift.functions.constants import (
     QUALITIES,
     TIERS,
 )
-from launchsift.functions.text import compact, strip
+from launchsift.functions.text import compact, computed_once, strip
 
 
 def _errors(checks: list[tuple[str, Column]]) -> Column:
@@ -185,14 +185,11 @@ def validate_payload(rows: DataFrame, kind: str, payload: str = "payload") -> Da
     value = F.from_json(F.col(payload), rules.schema, {"mode": "PERMISSIVE"})
     keys = F.coalesce(F.json_object_keys(F.col(payload)), F.array().cast("array<string>"))
     known = F.array(*[F.lit(f.name) for f in rules.fields])
-    v = F.col("_value")
+    v = F.col("_json.v")
     checks = [(f.name, f.ok(v[f.name], rules.schema[f.name].dataType)) for f in rules.fields]
-    checks.append(("unknown_keys", F.size(F.array_except(F.col("_keys"), known)) == 0))
-    return (
-        rows.withColumns({"_value": value, "_keys": keys})
-        .withColumn("errors", _errors(checks))
-        .drop("_value", "_keys")
-    )
+    checks.append(("unknown_keys", F.size(F.array_except(F.col("_json.k"), known)) == 0))
+    parsed = computed_once(rows, "_json", F.struct(value.alias("v"), keys.alias("k")))
+    return parsed.withColumn("errors", _errors(checks)).drop("_json")
 
 
 def split_quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

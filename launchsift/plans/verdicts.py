@@ -402,7 +402,7 @@ def models(t):
                  else 'degen' end conviction_tier,
             case when conv_id % 4 = 3 then '{TEXT_CAVEAT_NO_MODEL}' when conv_id % 4 = 2 then '' else agent end caveats,
             list_aggregate(list_sort(list_distinct(list_filter(string_split(model_attribution, ',')
-                || case when conv_id % 4 = 3 then [] else ['own/n'] end, x -> x <> ''))), 'string_agg', ',')
+                || case when conv_id % 4 = 3 then [] else ['own/n'] end, lambda x: x <> ''))), 'string_agg', ',')
                 model_attribution,
             case when conv_id % 4 = 3 then 'degraded' else 'ok' end confidence_tier
             from (select *, conv_id * 7 % 101 score from v_message) m join names n on n.start_id = m.msg_id
