@@ -58,9 +58,13 @@ def model_tag(provider: Column, model: Column) -> Column:
     return F.concat(provider, F.lit("/"), F.regexp_replace(model, r"\A[^/]*/", ""))
 
 
-def compact(*items: Column) -> Column:
-    """Array of the given expressions without the nulls."""
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+def chosen(*options: tuple[Column, Column]) -> Column:
+    """Array of the values whose condition is true, in the given order.
+
+    Built from one-element arrays because that, unlike filtering an array, is compiled.
+    """
+    none = F.array()
+    return F.concat(*[F.when(when, F.array(value)).otherwise(none) for when, value in options])
 
 
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:

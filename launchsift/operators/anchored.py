@@ -13,10 +13,13 @@ the key is cut into time buckets:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from launchsift.functions.text import micros
 from launchsift.operators.ordered import BUCKET, bucket_of
@@ -25,94 +28,177 @@ _NONE = -(2**62)
 _NEVER = 2**62
 
 
-def _handover(times: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each first anchor: index of the bucket's last anchor, and the next anchor."""
-    n = len(times)
-    following = np.searchsorted(times, times + period, side="left")
-    last = np.where(following < n, following, np.arange(n))
-    while True:
-        further = last[last]
-        if np.array_equal(further, last):
-            return last, following
-        last = further
+class _Cells:
+    """Sorted hits of several whole (key, bucket) cells, addressed by row number."""
+
+    def __init__(self, table: pa.Table, width: int, period: int) -> None:
+        key, bucket = _numpy(table, "_key"), _numpy(table, BUCKET)
+        rows = table.num_rows
+        self.key, self.bucket = key, bucket
+        self.at = _numpy(table, "_at")
+        self.first = np.append(True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]))
+        self.cell = np.cumsum(self.first) - 1
+        self.start = np.flatnonzero(self.first)
+        self.stop = np.append(self.start[1:], rows)
+        self.row = np.arange(rows)
+        self.offset = self.at - bucket * width
+        # One increasing axis for all cells, with room for a window's length between them.
+        self.stride = width + period + 1
+        self.axis = self.offset + self.cell * self.stride
+        self.period = period
+
+    def rows_at(self, cells: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """First row at or after an offset inside each cell (its stop if there is none)."""
+        within = np.clip(offsets, 0, self.stride - 1)
+        return np.searchsorted(self.axis, within + cells * self.stride, side="left")
+
+    def following(self) -> np.ndarray:
+        """For each row the anchor that comes next if the row is an anchor."""
+        return np.searchsorted(self.axis, self.axis + self.period, side="left")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroups sorted batches so that no (key, bucket) cell is cut."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        key, bucket = _numpy(table, "_key"), _numpy(table, BUCKET)
+        final = (key[-1], bucket[-1])
+        cut = int(np.argmax((key == final[0]) & (bucket == final[1])))
+        if cut == 0 and final == last:
+            held.append(table)
+            continue
+        ready = pa.concat_tables([*held, table.slice(0, cut)])
+        if ready.num_rows:
+            yield ready
+        held, last = [table.slice(cut)], final
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _numpy(table: pa.Table, column: str) -> np.ndarray:
+    return table[column].to_numpy()
+
+
+def _batches(**columns) -> Iterator[pa.RecordBatch]:
+    yield from pa.table(columns).combine_chunks().to_batches()
 
 
 def anchored_windows(
     hits: DataFrame, keys: list[str], ts: str, id_col: str, period_s: float, bucket_s: float = 86_400
 ) -> DataFrame:
-    """Adds ``window_start`` (epoch microseconds) and ``hit_no`` (1 = the anchor)."""
+    """(keys, ts, id, window_start, hit_no): the window of every hit.
+
+    ``window_start`` is in epoch microseconds and ``hit_no`` counts from 1, the anchor.
+    """
     period = int(period_s * 1_000_000)
     width = int(bucket_s * 1_000_000)
-    key = F.to_json(F.struct(*keys))
     slim = hits.select(
-        key.alias("_key"), F.col(id_col).alias("_id"), micros(F.col(ts)).alias("_at"),
+        F.to_json(F.struct(*keys)).alias("_key"),
         bucket_of(F.col(ts), bucket_s).alias(BUCKET),
+        micros(F.col(ts)).alias("_at"),
+        *keys,
+        ts,
+        id_col,
     )
-    id_type = hits.schema[id_col].dataType.simpleString()
-
-    def report(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        key_text, bucket = group
-        times = np.sort(pdf["_at"].to_numpy())
-        last, _ = _handover(times, period)
-        n = len(times)
-        reach = int(np.searchsorted(times, bucket * width + period, side="left"))
-        distinct = np.flatnonzero(np.append(True, times[1:] != times[:-1]))
-        entries = distinct[distinct <= reach]
-        ends = last[entries]
-        keep = np.append(ends[1:] != ends[:-1], True)
-        entries, ends = entries[keep], ends[keep]
-        upto = list(times[entries])
-        anchor = list(times[ends])
-        count = list(n - ends)
-        upto.append(_NEVER)
-        anchor.append(_NONE)
-        count.append(n)
-        return pd.DataFrame(
-            {"_key": key_text, BUCKET: bucket, "upto": upto, "anchor": anchor, "n": count}
-        )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([BUCKET, "upto"])
-        anchor, count, out = _NONE, 0, []
-        for bucket, part in pdf.groupby(BUCKET, sort=False):
-            out.append((part["_key"].iat[0], bucket, anchor, count))
-            ready = anchor + period if anchor != _NONE else _NONE
-            row = int(np.searchsorted(part["upto"].to_numpy(), ready, side="left"))
-            if part["anchor"].iat[row] == _NONE:
-                count += int(part["n"].iat[row])
-            else:
-                anchor, count = int(part["anchor"].iat[row]), int(part["n"].iat[row])
-        return pd.DataFrame(out, columns=["_key", BUCKET, "anchor", "n"])
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", "_id"], ignore_index=True)
-        times = pdf["_at"].to_numpy()
-        anchor, count = int(pdf["anchor"].iat[0]), int(pdf["n"].iat[0])
-        start = np.empty(len(times), dtype=np.int64)
-        number = np.empty(len(times), dtype=np.int64)
-        at = 0
-        while at < len(times):
-            if anchor == _NONE or times[at] >= anchor + period:
-                anchor, count = int(times[at]), 0
-            end = int(np.searchsorted(times, anchor + period, side="left"))
-            start[at:end] = anchor
-            number[at:end] = count + 1 + np.arange(end - at)
-            count += end - at
-            at = end
-        return pd.DataFrame({"_id": pdf["_id"], "window_start": start, "hit_no": number})
-
-    reports = slim.groupBy("_key", BUCKET).applyInPandas(
+    cell = ["_key", BUCKET]
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches):
+            c = _Cells(table, width, period)
+            nxt = c.following()
+            last = np.where(nxt < c.stop[c.cell], nxt, c.row)
+            while not np.array_equal(last[last], last):
+                last = last[last]
+            before = np.append(-1, c.offset[:-1])
+            distinct = c.first | (c.offset != before)
+            entry = np.flatnonzero(distinct & (c.first | (before < period)))
+            end, owner = last[entry], c.cell[entry]
+            keep = np.append((end[1:] != end[:-1]) | (owner[1:] != owner[:-1]), True)
+            entry, end = entry[keep], end[keep]
+            through = c.start
+            yield from _batches(
+                _key=pa.array(np.append(c.key[entry], c.key[through]), pa.string()),
+                _bucket=np.append(c.bucket[entry], c.bucket[through]),
+                upto=np.append(c.at[entry], np.full(len(through), _NEVER)),
+                anchor=np.append(c.at[end], np.full(len(through), _NONE)),
+                n=np.append(c.stop[c.cell[end]] - end, c.stop - c.start),
+            )
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = bucket = None
+        anchor, count, settled, ready = _NONE, 0, True, _NONE
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("_key", BUCKET, "upto", "anchor", "n")]
+            for row_key, row_bucket, upto, last, n in zip(*columns):
+                if row_key != key:
+                    key, bucket, anchor, count = row_key, None, _NONE, 0
+                if row_bucket != bucket:
+                    bucket, settled = row_bucket, False
+                    ready = anchor + period if anchor != _NONE else _NONE
+                    out.append((key, bucket, anchor, count))
+                if not settled and upto >= ready:
+                    settled = True
+                    anchor, count = (anchor, count + n) if last == _NONE else (last, n)
+            if out:
+                keys_out, buckets, anchors, counts = zip(*out)
+                yield from _batches(
+                    _key=pa.array(keys_out, pa.string()), _bucket=pa.array(buckets, pa.int64()),
+                    anchor=pa.array(anchors, pa.int64()), n=pa.array(counts, pa.int64()),
+                )
+
+    passed = [*keys, ts, id_col]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches):
+            is_start = _numpy(table, "_is_start")
+            starts = table.filter(pa.array(is_start))
+            inherited, carried = _numpy(starts, "anchor"), _numpy(starts, "n")
+            table = table.filter(pa.array(~is_start))
+            c = _Cells(table, width, period)
+            ready = np.where(inherited == _NONE, 0, inherited + period - c.bucket[c.start] * width)
+            nxt = c.following()
+            opens = np.zeros(table.num_rows, dtype=bool)
+            cells = np.arange(len(c.start))
+            at = c.rows_at(cells, ready)
+            while True:
+                inside = at < c.stop[cells]
+                cells, at = cells[inside], at[inside]
+                if not len(at):
+                    break
+                opens[at] = True
+                at = nxt[at]
+            opener = np.maximum.accumulate(np.where(opens, c.row, -1))
+            start = c.start[c.cell]
+            own = opener >= start
+            yield from _batches(
+                **{name: table[name] for name in passed},
+                window_start=np.where(own, c.at[opener], inherited[c.cell]),
+                hit_no=np.where(own, c.row - opener + 1, carried[c.cell] + c.row - start + 1),
+            )
+
+    def sorted_cells(df: DataFrame, by: list[str], *then: str) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions("_key", BUCKET, *then)
+
+    reports = sorted_cells(slim.select(*cell, "_at"), cell, "_at").mapInArrow(
         report, f"_key string, {BUCKET} bigint, upto bigint, anchor bigint, n bigint"
     )
-    starts = reports.groupBy("_key").applyInPandas(
+    starts = sorted_cells(reports, ["_key"], "upto").mapInArrow(
         walk, f"_key string, {BUCKET} bigint, anchor bigint, n bigint"
     )
-    numbered = (
-        slim.join(starts, ["_key", BUCKET])
-        .groupBy("_key", BUCKET)
-        .applyInPandas(replay, f"_id {id_type}, window_start bigint, hit_no bigint")
+    # The start of each cell travels as its first row, so no join is needed.
+    rows = slim.withColumn("_is_start", F.lit(False)).unionByName(
+        starts.withColumns({"_is_start": F.lit(True), "_at": F.lit(_NONE)}), allowMissingColumns=True
+    )
+    result = T.StructType(
+        [hits.schema[name] for name in passed]
+        + [T.StructField("window_start", T.LongType()), T.StructField("hit_no", T.LongType())]
     )
-    return hits.join(numbered.withColumnRenamed("_id", id_col), id_col)
+    return sorted_cells(rows, cell, "_at", id_col).mapInArrow(replay, result)
 
 
 def quota_overflow(
@@ -142,7 +228,10 @@ def quota_by_clock(hits: DataFrame, keys: list[str], ts: str, capacity: int, per
 def first_per_period(
     rows: DataFrame, keys: list[str], ts: str, id_col: str, period_s: float, bucket_s: float = 86_400
 ) -> DataFrame:
-    """Keeps a row when at least ``period_s`` passed since the last kept row of its key."""
+    """Keeps a row when at least ``period_s`` passed since the last kept row of its key.
+
+    Returns (keys, ts, id) of the kept rows.
+    """
     return (
         anchored_windows(rows, keys, ts, id_col, period_s, bucket_s)
         .filter(F.col("hit_no") == 1)

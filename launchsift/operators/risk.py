@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from launchsift.functions.constants import PAIR_TIMEOUT_S, TEXT_NO_MODEL
 from launchsift.functions.rules import Rule, default_rules
-from launchsift.functions.text import compact, micros
+from launchsift.functions.text import chosen, micros
 from launchsift.operators.ordered import DAY_S, OrderedKeys
 
 SIDES = ("social", "chain")
@@ -132,7 +132,7 @@ def partial_verdicts(
 def run_rules(pairs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Adds ``findings``: (tag, weight, reason) of every rule that fires, in order."""
     hits = [
-        F.when(
+        (
             r.when,
             F.struct(
                 F.lit(r.tag).alias("tag"), F.lit(r.weight).alias("weight"), r.reason.alias("reason")
@@ -140,14 +140,14 @@ def run_rules(pairs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         )
         for r in (default_rules() if rules is None else rules)
     ]
-    return pairs.withColumn("findings", compact(*hits))
+    return pairs.withColumn("findings", chosen(*hits))
 
 
 def score_of(findings: Column) -> Column:
     """100 less the weights, at least 0; a suspected honeypot is always 5."""
-    weights = F.aggregate(findings, F.lit(0), lambda acc, f: acc + f["weight"])
+    weights = F.aggregate(findings["weight"], F.lit(0), lambda total, w: total + w)
     return F.when(
-        F.exists(findings, lambda f: f["tag"] == FORCED_TAG), F.lit(FORCED_SCORE)
+        F.array_contains(findings["tag"], FORCED_TAG), F.lit(FORCED_SCORE)
     ).otherwise(F.greatest(F.lit(0), F.lit(100) - weights))
 
 
@@ -165,7 +165,7 @@ def build_verdict(rows: DataFrame) -> DataFrame:
     return rows.select(
         "token_address",
         F.when(answered, F.col("score")).alias("score_0_100"),
-        F.transform("findings", lambda f: f["tag"]).alias("red_flags"),
+        F.col("findings.tag").alias("red_flags"),
         F.when(answered, F.col("rationale")).otherwise(F.lit(TEXT_NO_MODEL)).alias("rationale"),
         F.array().cast("array<string>").alias("missing_inputs"),
         F.when(answered, F.col("confidence")).alias("confidence"),

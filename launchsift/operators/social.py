@@ -15,7 +15,7 @@ from launchsift.functions.constants import (
     SAMPLE_WIDTH,
     SEARCH_PAGE,
 )
-from launchsift.functions.text import compact, head, strip
+from launchsift.functions.text import chosen, head, strip
 from launchsift.operators.modeltext import text_list
 from launchsift.operators.skew import skew_join, top_k_per_group
 
@@ -121,10 +121,10 @@ def assemble_social(
     xd = F.coalesce("_xd", F.lit(True))
     td = F.coalesce("_td", F.lit(True))
     silent = F.col("_scored").isNull()
-    own = compact(
-        F.when(xd, F.lit(FLAG_SEARCH_BLOCKED)),
-        F.when(td, F.lit(FLAG_CHANNEL_BLOCKED)),
-        F.when(silent, F.lit(FLAG_SCORER_EXHAUSTED)),
+    own = chosen(
+        (xd, F.lit(FLAG_SEARCH_BLOCKED)),
+        (td, F.lit(FLAG_CHANNEL_BLOCKED)),
+        (silent, F.lit(FLAG_SCORER_EXHAUSTED)),
     )
     return (
         candidates.select("token_address")

@@ -22,12 +22,12 @@ from launchsift.functions.constants import (
     QUALITIES,
     TIERS,
 )
-from launchsift.functions.text import compact, computed_once, strip
+from launchsift.functions.text import chosen, computed_once, strip
 
 
 def _errors(checks: list[tuple[str, Column]]) -> Column:
     """Names of the checks that are not true (a null outcome counts as failed)."""
-    return compact(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
+    return chosen(*[(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
 
 
 def validate_envelopes(envelopes: DataFrame) -> DataFrame:

@@ -351,6 +351,6 @@ def score_tokens(t):
     return brief.conviction_tier(rows, "score").select(
         "token_address", "mentions_24h", "holder_count", "top10_concentration_pct",
         "buy_sell_velocity_tx_per_min", "whale_entries",
-        joined(F.transform("findings", lambda f: f["tag"])).alias("flags"),
+        joined(F.col("findings.tag")).alias("flags"),
         "score", "conviction_tier",
     )

@@ -187,8 +187,8 @@ def rules(t):
     found = risk.run_rules(rule_rows(t))
     return found.select(
         *ROW_ID,
-        joined(F.transform("findings", lambda f: f["tag"])).alias("tags"),
-        F.array_join(F.transform("findings", lambda f: f["reason"]), "|").alias("reasons"),
+        joined(F.col("findings.tag")).alias("tags"),
+        F.array_join(F.col("findings.reason"), "|").alias("reasons"),
     )
 
 
