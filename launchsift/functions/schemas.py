@@ -5,63 +5,63 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TEXT, LONG, INT, DOUBLE = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
+FLAG, TIME, MONEY = T.BooleanType(), T.TimestampType(), T.DecimalType(10, 6)
+TEXTS = T.ArrayType(TEXT)
 
 
-FEED_ITEM = _struct(
-    "address STRING, creator STRING, name STRING, symbol STRING, "
-    "liquidityUsd STRING, launchedAt STRING, url STRING"
-)
-LOG_ENTRY = _struct(
-    "block BIGINT, address STRING, topics ARRAY<STRING>, data STRING, transactionHash STRING"
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, dtype) for name, dtype in fields.items()])
+
+
+FEED_ITEM = struct(
+    address=TEXT, creator=TEXT, name=TEXT, symbol=TEXT, liquidityUsd=TEXT, launchedAt=TEXT,
+    url=TEXT,
 )
-ENVELOPE = _struct(
-    "msg_id STRING, agent STRING, upstream_ids ARRAY<STRING>, payload_hash STRING, "
-    "payload STRING, created_at STRING, model_used STRING"
+LOG_ENTRY = struct(block=LONG, address=TEXT, topics=TEXTS, data=TEXT, transactionHash=TEXT)
+ENVELOPE = struct(
+    msg_id=TEXT, agent=TEXT, upstream_ids=TEXTS, payload_hash=TEXT, payload=TEXT,
+    created_at=TEXT, model_used=TEXT,
 )
-FINDING = _struct(
-    "msg_id STRING, agent STRING, payload_hash STRING, upstream_ids ARRAY<STRING>, "
-    "payload STRING, model_used STRING, created_at TIMESTAMP, "
-    "on_chain_tx STRING, on_chain_block BIGINT"
+FINDING = struct(
+    msg_id=TEXT, agent=TEXT, payload_hash=TEXT, upstream_ids=TEXTS, payload=TEXT,
+    model_used=TEXT, created_at=TIME, on_chain_tx=TEXT, on_chain_block=LONG,
 )
-MODEL_CALL = _struct(
-    "agent STRING, provider STRING, model STRING, prompt_hash STRING, response_hash STRING, "
-    "input_tokens BIGINT, output_tokens BIGINT, cost_usd DECIMAL(10,6), latency_ms BIGINT, "
-    "success BOOLEAN, error_class STRING, created_at TIMESTAMP"
+MODEL_CALL = struct(
+    agent=TEXT, provider=TEXT, model=TEXT, prompt_hash=TEXT, response_hash=TEXT,
+    input_tokens=LONG, output_tokens=LONG, cost_usd=MONEY, latency_ms=LONG, success=FLAG,
+    error_class=TEXT, created_at=TIME,
 )
-SIGNAL = _struct("msg_id STRING, token_address STRING, side STRING, ts TIMESTAMP")
+SIGNAL = struct(msg_id=TEXT, token_address=TEXT, side=TEXT, ts=TIME)
 
-CANDIDATE = _struct(
-    "token_address STRING, launch_timestamp STRING, creator_address STRING, token_name STRING, "
-    "token_symbol STRING, initial_liquidity_usd DOUBLE, source_url STRING"
+CANDIDATE = struct(
+    token_address=TEXT, launch_timestamp=TEXT, creator_address=TEXT, token_name=TEXT,
+    token_symbol=TEXT, initial_liquidity_usd=DOUBLE, source_url=TEXT,
 )
-SOCIAL = _struct(
-    "token_address STRING, organic_score INT, mentions_24h INT, sentiment DOUBLE, "
-    "red_flags ARRAY<STRING>, influencer_mentions ARRAY<STRING>, data_quality STRING"
+SOCIAL = struct(
+    token_address=TEXT, organic_score=INT, mentions_24h=INT, sentiment=DOUBLE, red_flags=TEXTS,
+    influencer_mentions=TEXTS, data_quality=TEXT,
 )
-CHAIN = _struct(
-    "token_address STRING, holder_count INT, top10_concentration_pct DOUBLE, "
-    "liquidity_usd DOUBLE, buy_sell_velocity_tx_per_min DOUBLE, whale_entries INT, "
-    "contract_verified BOOLEAN, honeypot_check_passed BOOLEAN, lp_locked BOOLEAN, "
-    "creator_previous_tokens INT, data_quality STRING"
+CHAIN = struct(
+    token_address=TEXT, holder_count=INT, top10_concentration_pct=DOUBLE, liquidity_usd=DOUBLE,
+    buy_sell_velocity_tx_per_min=DOUBLE, whale_entries=INT, contract_verified=FLAG,
+    honeypot_check_passed=FLAG, lp_locked=FLAG, creator_previous_tokens=INT, data_quality=TEXT,
 )
-VERDICT = _struct(
-    "token_address STRING, score_0_100 INT, red_flags ARRAY<STRING>, rationale STRING, "
-    "missing_inputs ARRAY<STRING>, confidence STRING, requires_human_review BOOLEAN"
+VERDICT = struct(
+    token_address=TEXT, score_0_100=INT, red_flags=TEXTS, rationale=TEXT, missing_inputs=TEXTS,
+    confidence=TEXT, requires_human_review=FLAG,
 )
-BRIEF = _struct(
-    "token_name STRING, token_address STRING, thesis STRING, conviction_tier STRING, "
-    "caveats ARRAY<STRING>, sources ARRAY<STRING>, model_attribution ARRAY<STRING>, "
-    "brief_generated_at STRING, confidence_tier STRING"
+BRIEF = struct(
+    token_name=TEXT, token_address=TEXT, thesis=TEXT, conviction_tier=TEXT, caveats=TEXTS,
+    sources=TEXTS, model_attribution=TEXTS, brief_generated_at=TEXT, confidence_tier=TEXT,
 )
-REVIEW = _struct(
-    "token_address STRING, reason STRING, risk_verdict_msg_id STRING, raised_at STRING"
+REVIEW = struct(
+    token_address=TEXT, reason=TEXT, risk_verdict_msg_id=TEXT, raised_at=TEXT,
 )
 
 EXPLORER_ROWS = {
-    "holders": _struct("TokenHolderQuantity STRING"),
-    "transfers": _struct("timeStamp STRING, value STRING, tokenDecimal STRING"),
-    "contracts": _struct("SourceCode STRING, ContractCreator STRING"),
-    "transactions": _struct("hash STRING, timeStamp STRING"),
+    "holders": struct(TokenHolderQuantity=TEXT),
+    "transfers": struct(timeStamp=TEXT, value=TEXT, tokenDecimal=TEXT),
+    "contracts": struct(SourceCode=TEXT, ContractCreator=TEXT),
+    "transactions": struct(hash=TEXT, timeStamp=TEXT),
 }

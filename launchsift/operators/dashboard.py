@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from launchsift.functions import schemas
+from launchsift.functions.schemas import LONG, TEXT, TEXTS, struct
 from launchsift.functions.text import computed_once, micros
 from launchsift.operators.validate import validate_envelopes, validate_payload
 
@@ -61,31 +62,30 @@ def model_usage(briefs: DataFrame) -> DataFrame:
     )
 
 
-FRAME = schemas.T.StructType.fromDDL(
-    "msg_id STRING, payload STRING, payload_hash STRING, upstream_ids ARRAY<STRING>, "
-    "model_used STRING, created_at STRING, on_chain_tx STRING, on_chain_block BIGINT"
+FRAME = struct(
+    msg_id=TEXT, payload=TEXT, payload_hash=TEXT, upstream_ids=TEXTS, model_used=TEXT,
+    created_at=TEXT, on_chain_tx=TEXT, on_chain_block=LONG,
 )
 
 
-def parse_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:
-    """Well-formed brief frames, newest first; greetings and malformed texts are ignored.
+def parse_frames(frames: DataFrame, frame: str = "frame", newest: int | None = None) -> DataFrame:
+    """Well-formed brief frames; greetings and malformed texts are ignored.
 
-    The thesis length is not checked here: the live view also shows short ones.
+    The thesis length is not checked here: the live view also shows short ones.  With
+    ``newest`` only that many are returned, newest first, without sorting the rest.
     """
     parsed = (
         computed_once(frames, "_f", F.from_json(frame, FRAME)).select("_f.*")
         .filter(F.col("msg_id").isNotNull() & F.col("payload").isNotNull())
         .withColumn("agent", F.lit("narrator"))
     )
-    bad_envelope = F.size("errors") > 0
-    kept = validate_envelopes(parsed).filter(~bad_envelope).drop("errors", "agent")
-    checked = validate_payload(kept, "brief")
-    return (
-        computed_once(
-            checked.filter(F.size(F.array_except("errors", F.array(F.lit("thesis")))) == 0),
-            "brief", F.from_json("payload", schemas.BRIEF),
-        )
-        .filter(F.col("brief.thesis").isNotNull())
+    kept = validate_envelopes(parsed).filter(F.size("errors") == 0).drop("errors", "agent")
+    short_thesis_only = F.size(F.array_except("errors", F.array(F.lit("thesis")))) == 0
+    briefs = (
+        validate_payload(kept, "brief", keep="brief")
+        .filter(short_thesis_only & F.col("brief.thesis").isNotNull())
         .drop("errors", "payload")
-        .orderBy(F.col("created_at").desc(), F.col("msg_id").desc())
     )
+    if newest is None:
+        return briefs
+    return briefs.orderBy(F.col("created_at").desc(), F.col("msg_id").desc()).limit(newest)

@@ -112,8 +112,13 @@ def existing(findings: DataFrame, ledger: DataFrame) -> DataFrame:
     return keyed.join(keys, "_key", "left_semi").drop("_key")
 
 
-def pending_anchors(findings: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Findings without a ledger record, oldest first."""
+def pending_anchors(
+    findings: DataFrame, ledger: DataFrame, oldest: int | None = None
+) -> DataFrame:
+    """Findings without a ledger record; with ``oldest`` only that many, oldest first."""
     keys = ledger.select(F.col("msg_id").alias("_key"))
     keyed = findings.withColumn("_key", ledger_key(F.col("msg_id")))
-    return keyed.join(keys, "_key", "left_anti").drop("_key").orderBy("created_at", "msg_id")
+    open_ones = keyed.join(keys, "_key", "left_anti").drop("_key")
+    if oldest is None:
+        return open_ones
+    return open_ones.orderBy("created_at", "msg_id").limit(oldest)

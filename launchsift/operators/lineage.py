@@ -68,9 +68,8 @@ def lineage(
 
 
 def lineage_report(findings: DataFrame, starts: DataFrame, max_depth: int = PIPELINE_DEPTH) -> DataFrame:
-    """Closure with the stored columns, nearest first."""
-    closure = lineage(findings, starts, max_depth)
-    return closure.join(findings, "msg_id").orderBy("start_id", "depth", "msg_id")
+    """Closure with the stored columns; ``depth`` gives the distance to the start."""
+    return lineage(findings, starts, max_depth).join(findings, "msg_id")
 
 
 def token_names(closure: DataFrame, findings: DataFrame) -> DataFrame:

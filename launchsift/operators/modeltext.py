@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from launchsift.functions.constants import CONFIDENCES, TEXT_NO_MODEL, TEXT_NO_RATIONALE
+from launchsift.functions.schemas import TEXT, TEXTS, struct
 from launchsift.functions.text import blank_to_null, fence_body, head, is_fenced, model_tag, strip
 
 STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
-RESPONSE = T.StructType.fromDDL(
-    "organic_score STRING, sentiment STRING, red_flags ARRAY<STRING>, "
-    "influencer_mentions ARRAY<STRING>, rationale STRING, confidence STRING, thesis STRING, "
-    "caveats ARRAY<STRING>, sources ARRAY<STRING>"
+RESPONSE = struct(
+    organic_score=TEXT, sentiment=TEXT, red_flags=TEXTS, influencer_mentions=TEXTS,
+    rationale=TEXT, confidence=TEXT, thesis=TEXT, caveats=TEXTS, sources=TEXTS,
 )
 
 

@@ -178,8 +178,13 @@ PAYLOADS: dict[str, PayloadRules] = {
 }
 
 
-def validate_payload(rows: DataFrame, kind: str, payload: str = "payload") -> DataFrame:
-    """Adds ``errors`` for a JSON payload column: failed fields, then ``unknown_keys``."""
+def validate_payload(
+    rows: DataFrame, kind: str, payload: str = "payload", keep: str | None = None
+) -> DataFrame:
+    """Adds ``errors`` for a JSON payload column: failed fields, then ``unknown_keys``.
+
+    With ``keep`` the decoded payload stays in a column of that name.
+    """
     rules = PAYLOADS[kind]
     # A value of the wrong type reads as null while its key is present.
     value = F.from_json(F.col(payload), rules.schema, {"mode": "PERMISSIVE"})
@@ -189,7 +194,10 @@ def validate_payload(rows: DataFrame, kind: str, payload: str = "payload") -> Da
     checks = [(f.name, f.ok(v[f.name], rules.schema[f.name].dataType)) for f in rules.fields]
     checks.append(("unknown_keys", F.size(F.array_except(F.col("_json.k"), known)) == 0))
     parsed = computed_once(rows, "_json", F.struct(value.alias("v"), keys.alias("k")))
-    return parsed.withColumn("errors", _errors(checks)).drop("_json")
+    checked = parsed.withColumn("errors", _errors(checks))
+    if keep is not None:
+        checked = checked.withColumn(keep, v)
+    return checked.drop("_json")
 
 
 def split_quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from launchsift.functions import schemas
-from launchsift.functions.constants import ADDRESS, DEFAULT_SOURCE_URL, TX_URL
+from launchsift.functions.constants import DEFAULT_SOURCE_URL, TX_URL
+from launchsift.functions.schemas import LONG, TEXT, struct
 from launchsift.operators import envelope, ingest, modeltext, validate
 from launchsift.plans.registry import Section
 from launchsift.plans.tables import address, joined, sql_address, sql_strip, with_views
@@ -456,7 +457,7 @@ def sealed(t):
     )
 
 
-DOCUMENT = schemas.T.StructType.fromDDL("doc_id BIGINT, lang STRING, n_chars BIGINT, source STRING, text STRING")
+DOCUMENT = struct(doc_id=LONG, lang=TEXT, n_chars=LONG, source=TEXT, text=TEXT)
 DOCUMENT_JSON = (
     "to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})::varchar"
 )

@@ -155,7 +155,8 @@ class Tables:
 
 
 def address(number: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(number)), 40, "0"))
+    # Low digits first: real addresses differ early, and sorting relies on that.
+    return F.concat(F.lit("0x"), F.reverse(F.lpad(F.lower(F.hex(number)), 40, "0")))
 
 
 def joined(values: Column) -> Column:
@@ -173,7 +174,7 @@ QUOTED_BLANKS = "'" + BLANKS + "'"
 
 
 def sql_address(number: str) -> str:
-    return f"('0x' || lpad(lower(to_hex({number})), 40, '0'))"
+    return f"('0x' || reverse(lpad(lower(to_hex({number})), 40, '0')))"
 
 
 def sql_strip(text: str) -> str:

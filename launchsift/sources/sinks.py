@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
-from launchsift.functions.canonical import canonical_struct
 from launchsift.functions.schemas import ENVELOPE, FINDING
 from launchsift.operators.envelope import append_findings
 
@@ -33,7 +33,7 @@ def write_envelopes(envelopes: DataFrame, path: str) -> None:
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FINDING.add("day", "date")).parquet(path)
+    return spark.read.schema(StructType([*FINDING.fields, StructField("day", DateType())])).parquet(path)
 
 
 def store_findings(envelopes: DataFrame, path: str) -> None:
