@@ -1,9 +1,10 @@
 """Canonical JSON text and its SHA-256.
 
 Canonical means: keys sorted at every level, no white space, raw UTF-8, nulls kept.
-``canonical_struct`` builds it inside the JVM from typed columns.  Text that arrives
-as arbitrary JSON goes through one Arrow-batched function instead, because key
-order inside an unknown document cannot be expressed as a column projection.
+``canonical_struct`` builds it inside the JVM from typed columns.  Text that arrives as
+arbitrary JSON, and rows with extreme doubles, go through one Arrow-batched function
+instead: key order inside an unknown document and the shortest digits of a double cannot
+be expressed as columns.
 """
 
 from __future__ import annotations
@@ -36,78 +37,6 @@ def _sorted_value(value: Column, dtype: T.DataType) -> Column:
     return value
 
 
-def _json_double(value: Column) -> Column:
-    """JSON text of a double of any finite magnitude; null for NaN and infinities.
-
-    The shortest digits are taken from Java's own text and laid out again: plain digits
-    for exponents -4 to 15, otherwise a signed exponent of at least two digits.
-    """
-    text = value.cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    power = F.regexp_extract(text, r"E(-?\d+)\z", 1).try_cast("int")
-    whole = F.regexp_extract(text, r"\A-?(\d)\.", 1)
-    rest = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)E", 1), r"\A0\z", "")
-    digits = F.concat(whole, rest)
-    left = power + 1
-    shifted = F.concat(
-        F.rpad(F.substring(digits, F.lit(1), left), left, F.lit("0")),
-        F.lit("."),
-        F.when(F.length(digits) > left, F.substring(digits, left + 1, F.lit(400))).otherwise(
-            F.lit("0")
-        ),
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    exponent = F.concat(
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(power).cast("string"),
-    )
-    scientific = F.concat(
-        whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")), exponent
-    )
-    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-    return F.when(
-        finite,
-        F.when(power.isNull(), text).otherwise(
-            F.concat(
-                sign,
-                F.when(power.between(7, 15), shifted)
-                .when(power.between(-4, -1), small)
-                .otherwise(scientific),
-            )
-        ),
-    )
-
-
-def _json_value(value: Column, dtype: T.DataType) -> Column:
-    """JSON text of one field of any type, with nulls printed."""
-    if isinstance(dtype, T.DoubleType):
-        return F.when(value.isNull(), F.lit("null")).otherwise(_json_double(value))
-    listed = F.to_json(F.array(_sorted_value(value, dtype)), {"ignoreNullFields": "false"})
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
-
-
-def canonical_struct(schema: T.StructType, columns: dict[str, Column] | None = None) -> Column:
-    """Canonical JSON of one row given as typed columns; null if a double is not finite.
-
-    Rows whose doubles all print plainly take one native conversion; only rows with an
-    extreme double are put together field by field.  Both stay inside the JVM.
-    """
-    columns = columns or {f.name: F.col(f.name) for f in schema.fields}
-    fields = sorted(schema.fields, key=lambda f: f.name)
-    native = F.to_json(
-        F.struct(*[_sorted_value(columns[f.name], f.dataType).alias(f.name) for f in fields]),
-        {"ignoreNullFields": "false"},
-    )
-    doubles = [columns[f.name] for f in fields if isinstance(f.dataType, T.DoubleType)]
-    if not doubles:
-        return native
-    parts = []
-    for f in fields:
-        parts += [F.lit(f'{"," if parts else "{"}"{f.name}":'), _json_value(columns[f.name], f.dataType)]
-    return F.when(plain_doubles(*doubles), native).otherwise(F.concat(*parts, F.lit("}")))
-
-
 def plain_doubles(*values: Column) -> Column:
     """True where every double is null, zero or printed without an exponent."""
     ok = F.lit(True)
@@ -135,6 +64,28 @@ def canonical_text(texts: pd.Series) -> pd.Series:
     return texts.map(_canonical_or_none)
 
 
+def canonical_struct(schema: T.StructType, columns: dict[str, Column] | None = None) -> Column:
+    """Canonical JSON of one row given as typed columns; null if a double is not finite.
+
+    Without doubles this is one native conversion.  With doubles, the rare rows holding
+    one that Java prints with an exponent are reprinted by ``canonical_text``; all other
+    rows only pass a null to it.
+    """
+    columns = columns or {f.name: F.col(f.name) for f in schema.fields}
+    fields = sorted(schema.fields, key=lambda f: f.name)
+    native = F.to_json(
+        F.struct(*[_sorted_value(columns[f.name], f.dataType).alias(f.name) for f in fields]),
+        {"ignoreNullFields": "false"},
+    )
+    doubles = [columns[f.name] for f in fields if isinstance(f.dataType, T.DoubleType)]
+    if not doubles:
+        return native
+    plain, finite = plain_doubles(*doubles), F.lit(True)
+    for v in doubles:
+        finite = finite & (v.isNull() | (~F.isnan(v) & (F.abs(v) != float("inf"))))
+    return F.when(plain, native).otherwise(canonical_text(F.when(finite & ~plain, native)))
+
+
 def derived_id(agent: Column, upstream_ids: Column, payload_hash: Column) -> Column:
     """26-character message id that is a function of the content.
 

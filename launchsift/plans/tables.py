@@ -21,11 +21,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = prepare(spark)
         self.folder = folder
+        self.opened: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.opened[name]
 
     # -- views -----------------------------------------------------------------
     def candidates(self) -> DataFrame:
