@@ -66,7 +66,14 @@ def main() -> int:
         try:
             got = q(spark, folder).toPandas()
             took = time.time() - start
-            outcome = "rows only" if q.sql is None else compare(got, con.execute(q.sql).df())
+            if q.sql is None:
+                outcome = "rows only"
+            else:
+                want = con.execute(q.sql).df()
+                outcome = compare(got, want)
+                for c in got.columns:
+                    if c in want.columns and got[c].dtype.kind != want[c].dtype.kind:
+                        print(f"  note: {q.name}.{c} is {got[c].dtype} here and {want[c].dtype} in SQL")
             size = len(got)
         except Exception as err:  # report and go on
             outcome, size, took = f"error {str(err)[:1500]}", -1, time.time() - start

@@ -164,7 +164,8 @@ def staged(t):
     with_views(
         "v_message", staged=STAGED,
         body="""select c.agent stage, count(*) messages,
-                quantile_cont(c.created_s - p.created_s, 0.5) p50, quantile_cont(c.created_s - p.created_s, 0.95) p95
+                round(quantile_cont(c.created_s - p.created_s, 0.5), 6) p50,
+                round(quantile_cont(c.created_s - p.created_s, 0.95), 6) p95
                 from staged c join staged p on p.msg_id = c.upstream group by 1""",
     ),
 )
@@ -186,8 +187,8 @@ def finals(t, messages):
     with_views(
         "v_message", staged=STAGED,
         ends="select conv_id, max(created_s) - min(created_s) s from staged group by 1 having max(turn) >= 4",
-        body="""select 'hunter to narrator' stage, count(*) messages, quantile_cont(s, 0.5) p50,
-                quantile_cont(s, 0.95) p95 from ends""",
+        body="""select 'hunter to narrator' stage, count(*) messages, round(quantile_cont(s, 0.5), 6) p50,
+                round(quantile_cont(s, 0.95), 6) p95 from ends""",
     ),
 )
 def end_to_end(t):

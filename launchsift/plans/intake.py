@@ -9,7 +9,7 @@ from launchsift.functions.constants import DEFAULT_SOURCE_URL, TX_URL
 from launchsift.functions.schemas import LONG, TEXT, struct
 from launchsift.operators import envelope, ingest, modeltext, validate
 from launchsift.plans.registry import Section
-from launchsift.plans.tables import address, joined, sql_address, sql_strip, with_views
+from launchsift.plans.tables import address, joined, or_none, sql_address, sql_strip, with_views
 
 section = Section()
 add = section.add
@@ -103,25 +103,28 @@ def next_cursor(t):
     with_views(
         "v_candidate",
         body=f"""select token_id block, token_address, creator_address, '(on-chain)' token_name,
-               '?' token_symbol, 0.0 initial_liquidity_usd, '' launch_timestamp,
+               '?' token_symbol, 0.0::double initial_liquidity_usd, '' launch_timestamp,
                '{TX_URL}0x' || lpad(lower(to_hex(token_id * 7)), 64, '0') source_url
         from v_candidate where p_size > 3""",
     ),
 )
 def launch_logs(t):
-    def topic(n):
-        return F.concat(F.lit("0x"), F.lpad(F.hex(n), 64, "0"))
+    def topic(digits):
+        return F.concat(F.lit("0x"), F.lpad(F.upper(digits), 64, "0"))
+
+    def digits_of(column):
+        return F.substring(column, 3, 40)
 
     size = F.col("p_size")
     logs = t.candidates().select(
         F.col("token_id").alias("block"),
         F.slice(
-            F.array(F.lit("0xfeed"), topic(F.col("token_id")), topic(F.col("creator_id"))),
+            F.array(F.lit("0xfeed"), topic(digits_of("token_address")), topic(digits_of("creator_address"))),
             F.lit(1),
             F.when(size <= 2, F.lit(2)).when(size == 3, F.lit(0)).otherwise(F.lit(3)),
         ).alias("topics"),
         F.lit("0x").alias("data"),
-        F.lower(topic(F.col("token_id") * 7)).alias("transactionHash"),
+        F.lower(topic(F.hex(F.col("token_id") * 7))).alias("transactionHash"),
     )
     return ingest.decode_launch_logs(logs)
 
@@ -176,7 +179,7 @@ def appended(t):
 
 @add(
     "q06_attach_receipts",
-    """select o_orderkey msg_id, tx on_chain_tx, block on_chain_block from orders left join (
+    """select o_orderkey msg_id, tx on_chain_tx, coalesce(block, -1) on_chain_block from orders left join (
             select l_orderkey, 'tx' || l_suppkey tx, epoch_us(l_shipdate) // 1000000 block,
                    row_number() over (partition by l_orderkey order by l_shipdate desc,
                         l_linenumber desc, l_partkey desc, l_suppkey desc) rn
@@ -190,9 +193,8 @@ def receipts(t):
         "l_linenumber", "l_partkey", "l_suppkey",
     )
     findings = t.orders.select(F.col("o_orderkey").alias("msg_id"))
-    return envelope.attach_receipts(
-        findings, found, ["on_chain_block", "l_linenumber", "l_partkey", "l_suppkey"]
-    )
+    order = ["on_chain_block", "l_linenumber", "l_partkey", "l_suppkey"]
+    return or_none(envelope.attach_receipts(findings, found, order), "on_chain_block")
 
 
 # -- validation -----------------------------------------------------------------------

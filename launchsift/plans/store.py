@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from launchsift.operators import brief, findings, ledger
 from launchsift.plans.intake import DOCUMENT_JSON
 from launchsift.plans.registry import Section
-from launchsift.plans.tables import epoch, with_views
+from launchsift.plans.tables import epoch, or_none, with_views
 
 section = Section()
 add = section.add
@@ -231,14 +231,15 @@ def text_findings(t):
 
 FOUND = """
     select lpad(o_orderkey::varchar, 26, '0') msg_id, r.payload_hash ledger_hash, r.agent ledger_agent,
-           r.block ledger_block, r.msg_id is not null "exists"
+           coalesce(r.block, -1) ledger_block, r.msg_id is not null "exists"
     from orders left join (from outcomes where outcome = 'Recorded') r
     on r.msg_id = lower(hex(lpad(o_orderkey::varchar, 26, '0'))) || repeat('00', 6)"""
 
 
 @add("q48_lookup_ledger", with_views(**AUDIT, found=FOUND, body="select * from found"))
 def looked_up(t):
-    return ledger.lookup_ledger(text_findings(t), ledger.ledger_of(judged(t))).drop("created_at")
+    found = ledger.lookup_ledger(text_findings(t), ledger.ledger_of(judged(t))).drop("created_at")
+    return or_none(found, "ledger_block")
 
 
 @add(

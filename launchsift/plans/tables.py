@@ -167,6 +167,11 @@ def joined(values: Column) -> Column:
     return F.array_join(values, ",")
 
 
+def or_none(df: DataFrame, *columns: str) -> DataFrame:
+    """Missing numbers shown as -1, because readers disagree on how to show a null number."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(-1)) for c in columns})
+
+
 def epoch(ts: Column) -> Column:
     return micros(ts)
 

@@ -14,7 +14,7 @@ from launchsift.operators import brief, lineage, modeltext, risk
 from launchsift.plans.intake import NOW
 from launchsift.plans.registry import Section
 from launchsift.plans.signals import RULE_CASES, SCORE_CASES
-from launchsift.plans.tables import address, joined, sql_address, sql_strip, with_views
+from launchsift.plans.tables import address, joined, or_none, sql_address, sql_strip, with_views
 
 section = Section()
 add = section.add
@@ -29,8 +29,8 @@ WAIT_US = WAIT_S * 1_000_000
         "v_signal",
         latest="""select * from (select *, row_number() over (partition by token_id, side
                   order by ts desc, msg_id desc) rn from v_signal) where rn = 1""",
-        body=f"""select coalesce(s.token_id, c.token_id) token_id, s.msg_id social_id, c.msg_id chain_id,
-                case when c.msg_id is null then 'chain' when s.msg_id is null then 'social' end missing
+        body=f"""select coalesce(s.token_id, c.token_id) token_id, coalesce(s.msg_id, -1) social_id,
+                coalesce(c.msg_id, -1) chain_id, case when c.msg_id is null then 'chain' when s.msg_id is null then 'social' end missing
                 from (from latest where side = 'social') s full join (from latest where side = 'chain') c
                 on s.token_id = c.token_id and abs(epoch_us(s.ts) - epoch_us(c.ts)) <= {WAIT_US}""",
     ),
@@ -43,7 +43,7 @@ def latest_pairs(t):
     )
     social = newest.filter(F.col("side") == "social")
     chain = newest.filter(F.col("side") == "chain")
-    return risk.pair_latest(social, chain, WAIT_S, "token_id")
+    return or_none(risk.pair_latest(social, chain, WAIT_S, "token_id"), "social_id", "chain_id")
 
 
 # The checking SQL walks every token signal by signal instead of using run parity.
@@ -88,9 +88,11 @@ def exact_pairs(t):
     return risk.pair_signals(t.signals(), WAIT_S, "token_id")
 
 
-@add("q28_pair_signals", walked("select token_id, social_id, chain_id, missing from pairs"))
+@add("q28_pair_signals", walked(
+    "select token_id, coalesce(social_id, -1) social_id, coalesce(chain_id, -1) chain_id, missing from pairs"
+))
 def pairs(t):
-    return exact_pairs(t)
+    return or_none(exact_pairs(t), "social_id", "chain_id")
 
 
 @add(
@@ -202,7 +204,7 @@ def scores(t):
     with_views(
         r=RULE_ROWS,
         body=f"""select {sql_address('l_partkey')} token_address, 's' || l_orderkey || ',c' || l_linenumber
-               upstream_ids, case when l_linenumber > 1 then {SCORE_CASES} end score_0_100,
+               upstream_ids, case when l_linenumber > 1 then {SCORE_CASES} else -1 end score_0_100,
                {RULE_CASES} red_flags,
                case when l_linenumber > 1 then 'because ' || l_orderkey else '{TEXT_NO_MODEL}' end rationale,
                case when l_linenumber > 1 then 'high' end confidence,
@@ -221,7 +223,7 @@ def verdicts(t):
             "model_used": F.when(answered, F.lit("a/b")),
         }
     )
-    return risk.build_verdict(rows).select(
+    return or_none(risk.build_verdict(rows), "score_0_100").select(
         "token_address", joined(F.col("upstream_ids")).alias("upstream_ids"), "score_0_100",
         joined(F.col("red_flags")).alias("red_flags"), "rationale", "confidence", "requires_human_review",
     )
