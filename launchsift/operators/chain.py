@@ -73,11 +73,10 @@ def tx_velocity(transfers: DataFrame, n: int = TRANSFER_PAGE, unit_s: float = 60
 
 
 def _velocity_parts():
-    boxed = F.struct(F.col("_t"))
     return [
         F.count(F.lit(1)).alias("_count"),
-        F.min_by(boxed, "_n")["_t"].alias("_newest"),
-        F.max_by(boxed, "_n")["_t"].alias("_oldest"),
+        F.min_by("_t", "_n").alias("_newest"),
+        F.max_by("_t", "_n").alias("_oldest"),
     ]
 
 

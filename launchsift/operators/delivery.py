@@ -59,17 +59,17 @@ def match_threshold(briefs: DataFrame, subs: DataFrame) -> DataFrame:
     """(msg_id, chat_id) deliveries of a batch of new briefs.
 
     The ordering comparison becomes an equality on the accepted tiers.  As there are only
-    four tiers, briefs are salted and subscribers repeated per salt, so the deliveries of
-    one tier are produced by many tasks.
+    four tiers, subscribers are salted and the batch's few briefs repeated per salt, so
+    the deliveries of one tier are produced by many tasks.
     """
     parts = split_count(briefs)
     left = briefs.select(
         "msg_id",
         tier_rank(F.col("conviction_tier")).alias("_tier"),
-        F.pmod(F.xxhash64("msg_id"), F.lit(parts)).cast("int").alias("_salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_salt"),
     )
     right = _accepting(subs).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        "_salt", F.pmod(F.xxhash64("chat_id"), F.lit(parts)).cast("int")
     )
     return left.join(right, ["_tier", "_salt"]).select("msg_id", "chat_id")
 

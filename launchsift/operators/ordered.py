@@ -9,7 +9,8 @@ window for any bucket width, so the width is purely a sizing knob.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +25,25 @@ def bucket_of(ts: Column, width_s: float) -> Column:
     return F.floor(micros(ts) / F.lit(int(width_s * 1_000_000))).cast("bigint")
 
 
+@dataclass(frozen=True)
+class Step:
+    """One result: inside its cell, as summary of the cell, and carried along the key."""
+
+    name: str
+    near: Column
+    edge: Column
+    carried: Column
+    merge: Callable[[Column, Column], Column]
+
+
 class OrderedKeys:
     """Ordered view of ``df``: rows of a key follow ``order`` (timestamp first).
 
-    ``bucket`` replaces the time bucket where the first order column is not a timestamp;
-    it must never decrease along the order.
+    Steps are collected and answered together by one pass: one window inside the cells,
+    one summary row per cell taken from the cell's last row, one join.  A step whose
+    value uses an earlier result starts a second pass.  ``bucket`` replaces the time
+    bucket where the first order column is not a timestamp; it must never decrease along
+    the order.
     """
 
     def __init__(
@@ -37,97 +52,99 @@ class OrderedKeys:
     ) -> None:
         self.keys = list(keys)
         self.order = list(order)
+        self.steps: list[Step] = []
         if bucket is None:
             bucket = bucket_of(F.col(self.order[0]), bucket_s)
         self.df = df.withColumn(BUCKET, bucket)
 
-    # -- plumbing ------------------------------------------------------------
-    @property
-    def _cell(self) -> list[str]:
-        return [*self.keys, BUCKET]
-
-    def _inside(self):
-        return Window.partitionBy(*self._cell).orderBy(*self.order)
-
-    def _across(self):
-        return Window.partitionBy(*self.keys).orderBy(BUCKET)
-
-    def _attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        return df.join(summary, self._cell, "left")
+    def _step(self, name: str, near: Column, edge: Column, carried: Column, merge) -> OrderedKeys:
+        self.steps.append(Step(name, near, edge, carried, merge))
+        return self
 
-    def _row_order(self) -> Column:
-        return F.struct(*self.order)
+    def _windows(self):
+        cell = [*self.keys, BUCKET]
+        inside = Window.partitionBy(*cell).orderBy(*self.order)
+        across = Window.partitionBy(*self.keys).orderBy(BUCKET)
+        return inside, across
 
-    # -- steps (each adds one column and returns self) -------------------------
     def previous(self, name: str, value: Column) -> OrderedKeys:
         """``value`` of the row before, null on the first row of a key."""
-        boxed = F.struct(value.alias("v"))
-        tails = self.df.groupBy(*self._cell).agg(
-            F.max_by(boxed, self._row_order()).alias("_edge")
-        ).select(*self._cell, F.lag("_edge").over(self._across()).alias("_edge"))
-        local = self.df.withColumn("_near", F.lag(boxed).over(self._inside()))
-        self.df = self._attach(local, tails).withColumn(
-            name, F.coalesce(F.col("_near"), F.col("_edge"))["v"]
-        ).drop("_near", "_edge")
-        return self
+        inside, across = self._windows()
+        boxed, edge = F.struct(value.alias("v")), F.col(f"_edge_{name}")
+        return self._step(
+            name, F.lag(boxed).over(inside), boxed, F.lag(edge).over(across),
+            lambda near, far: F.coalesce(near, far)["v"],
+        )
 
     def following(self, name: str, value: Column) -> OrderedKeys:
         """``value`` of the row after, null on the last row of a key."""
-        boxed = F.struct(value.alias("v"))
-        heads = self.df.groupBy(*self._cell).agg(
-            F.min_by(boxed, self._row_order()).alias("_edge")
-        ).select(*self._cell, F.lead("_edge").over(self._across()).alias("_edge"))
-        local = self.df.withColumn("_near", F.lead(boxed).over(self._inside()))
-        self.df = self._attach(local, heads).withColumn(
-            name, F.coalesce(F.col("_near"), F.col("_edge"))["v"]
-        ).drop("_near", "_edge")
-        return self
+        inside, across = self._windows()
+        boxed, edge = F.struct(value.alias("v")), F.col(f"_edge_{name}")
+        whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return self._step(
+            name, F.lead(boxed).over(inside), F.first(boxed).over(whole), F.lead(edge).over(across),
+            lambda near, far: F.coalesce(near, far)["v"],
+        )
 
     def running(self, name: str, amount: Column) -> OrderedKeys:
         """Sum of ``amount`` up to and including the row."""
-        before = self._across().rowsBetween(Window.unboundedPreceding, -1)
-        sums = self.df.groupBy(*self._cell).agg(F.sum(amount).alias("_edge")).select(
-            *self._cell, F.sum("_edge").over(before).alias("_edge")
+        inside, across = self._windows()
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        near, zero = F.sum(amount).over(upto), F.lit(0)
+        return self._step(
+            name, near, near, F.sum(f"_edge_{name}").over(before),
+            lambda near, far: F.coalesce(near, zero) + F.coalesce(far, zero),
         )
-        upto = self._inside().rowsBetween(Window.unboundedPreceding, 0)
-        local = self.df.withColumn("_near", F.sum(amount).over(upto))
-        zero = F.lit(0)
-        self.df = self._attach(local, sums).withColumn(
-            name, F.coalesce(F.col("_near"), zero) + F.coalesce(F.col("_edge"), zero)
-        ).drop("_near", "_edge")
-        return self
 
     def latest(self, name: str, value: Column) -> OrderedKeys:
         """Last non-null ``value`` up to and including the row."""
-        before = self._across().rowsBetween(Window.unboundedPreceding, -1)
-        tails = self.df.groupBy(*self._cell).agg(
-            F.max_by(value, F.when(value.isNotNull(), self._row_order())).alias("_edge")
-        ).select(*self._cell, F.last("_edge", True).over(before).alias("_edge"))
-        upto = self._inside().rowsBetween(Window.unboundedPreceding, 0)
-        local = self.df.withColumn("_near", F.last(value, True).over(upto))
-        self.df = self._attach(local, tails).withColumn(
-            name, F.coalesce(F.col("_near"), F.col("_edge"))
-        ).drop("_near", "_edge")
-        return self
+        inside, across = self._windows()
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        near = F.last(value, True).over(upto)
+        return self._step(
+            name, near, near, F.last(f"_edge_{name}", True).over(before), F.coalesce
+        )
 
     def upcoming(self, name: str, value: Column) -> OrderedKeys:
         """First non-null ``value`` after the row."""
-        after = self._across().rowsBetween(1, Window.unboundedFollowing)
-        heads = self.df.groupBy(*self._cell).agg(
-            F.min_by(value, F.when(value.isNotNull(), self._row_order())).alias("_edge")
-        ).select(*self._cell, F.first("_edge", True).over(after).alias("_edge"))
-        ahead = self._inside().rowsBetween(1, Window.unboundedFollowing)
-        local = self.df.withColumn("_near", F.first(value, True).over(ahead))
-        self.df = self._attach(local, heads).withColumn(
-            name, F.coalesce(F.col("_near"), F.col("_edge"))
-        ).drop("_near", "_edge")
-        return self
+        inside, across = self._windows()
+        ahead = inside.rowsBetween(1, Window.unboundedFollowing)
+        whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        after = across.rowsBetween(1, Window.unboundedFollowing)
+        return self._step(
+            name, F.first(value, True).over(ahead), F.first(value, True).over(whole),
+            F.first(f"_edge_{name}", True).over(after), F.coalesce,
+        )
 
     def with_column(self, name: str, value: Column) -> OrderedKeys:
+        """Adds a plain column, which later steps may use."""
+        self._answer()
         self.df = self.df.withColumn(name, value)
         return self
 
+    def _answer(self) -> None:
+        if not self.steps:
+            return
+        cell, (inside, _) = [*self.keys, BUCKET], self._windows()
+        near = self.df.withColumns(
+            {f"_near_{s.name}": s.near for s in self.steps}
+            | {f"_edge_{s.name}": s.edge for s in self.steps}
+            | {"_more": F.lead(F.lit(True)).over(inside)}
+        )
+        edges = [f"_edge_{s.name}" for s in self.steps]
+        summary = near.filter(F.col("_more").isNull()).select(*cell, *edges).select(
+            *cell, *[s.carried.alias(f"_far_{s.name}") for s in self.steps]
+        )
+        merged = near.drop("_more", *edges).join(summary, cell, "left").withColumns(
+            {s.name: s.merge(F.col(f"_near_{s.name}"), F.col(f"_far_{s.name}")) for s in self.steps}
+        )
+        helpers = [f"_{side}_{s.name}" for s in self.steps for side in ("near", "far")]
+        self.df, self.steps = merged.drop(*helpers), []
+
     def rows(self) -> DataFrame:
+        self._answer()
         return self.df.drop(BUCKET)
 
 

@@ -39,7 +39,7 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys holding more than 1/n of the rows; there can be at most n of them."""
     parts = split_count(df)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    total = counted.agg(F.sum("_rows")).scalar()
     return counted.filter(F.col("_rows") * parts > total).select(*keys, F.lit(True).alias("_hot"))
 
 

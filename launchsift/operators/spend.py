@@ -152,8 +152,9 @@ def circuit_intervals(
             ["provider"], ["created_at", "call_id"], bucket_s,
         )
         .running("_no", F.lit(1))
-        .latest("_last_ok", F.when(ok, F.col("_no")))
         .upcoming("_next_ok", F.when(ok, micros(F.col("created_at"))))
+        .with_column("_ok_no", F.when(ok, F.col("_no")))
+        .latest("_last_ok", F.col("_ok_no"))
     )
     in_row = F.col("_no") - F.coalesce("_last_ok", F.lit(0))
     opened = micros(F.col("created_at"))
