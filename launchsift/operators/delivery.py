@@ -14,7 +14,7 @@ from launchsift.functions.constants import (
 from launchsift.functions.text import head, micros
 from launchsift.operators.modeltext import text_list
 from launchsift.operators.ordered import DAY_S, OrderedKeys
-from launchsift.operators.skew import skew_join, split_count
+from launchsift.operators.skew import split_count
 
 
 def tier_rank(tier: Column) -> Column:
@@ -96,20 +96,17 @@ def undelivered(
     """
     span = int(memory_s * 1_000_000)
     at = micros(F.col("sent_at"))
-    scan = OrderedKeys(sent, ["chat_id"], ["sent_at", "msg_id"], bucket_s).following(
-        "_next", at
-    )
-    # A row is forgotten when it, or any later send, is followed by a long silence.
     until = F.coalesce(F.col("_next"), micros(now))
-    gaps = scan.with_column("_silent", (until - at) >= span).rows()
-    forgotten = gaps.filter("_silent").groupBy("chat_id").agg(
-        F.max(F.struct("sent_at", "msg_id")).alias("_last")
+    scan = (
+        OrderedKeys(sent, ["chat_id"], ["sent_at", "msg_id"], bucket_s)
+        .following("_next", at)
+        .with_column("_silent", F.when(until - at >= span, F.lit(True)))
+        .upcoming("_later", F.col("_silent"))
     )
+    # A send is forgotten when it, or any later send, is followed by a long silence.
     remembered = (
-        skew_join(gaps, forgotten, ["chat_id"], ["msg_id"])
-        .filter(F.col("_last").isNull() | (F.struct("sent_at", "msg_id") > F.col("_last")))
-        .select("chat_id", "msg_id")
-        .distinct()
+        scan.rows().filter(F.col("_silent").isNull() & F.col("_later").isNull())
+        .select("chat_id", "msg_id").distinct()
     )
     return matches.join(remembered, ["chat_id", "msg_id"], "left_anti")
 

@@ -62,8 +62,8 @@ def new_since_cursor(pages: DataFrame, cursors: DataFrame, feed: str = "feed") -
     counts down the page, so ascending order is oldest first.
     """
     seen = (
-        skew_join(pages.select(feed, "pos", "token_address"), cursors, [feed], ["pos"], "inner")
-        .filter(F.col("token_address") == F.col("last_seen"))
+        pages.select(feed, "pos", "token_address")
+        .join(cursors.select(feed, F.col("last_seen").alias("token_address")), [feed, "token_address"])
         .groupBy(feed)
         .agg(F.min("pos").alias("_stop"))
     )

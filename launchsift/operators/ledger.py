@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from launchsift.operators.ordered import OrderedKeys
-from launchsift.operators.skew import skew_join
 
 ZERO32 = bytes(32)
 POSITION = ["block", "idx"]
@@ -22,6 +21,10 @@ def ledger_hash(hex_text: Column) -> Column:
     return F.when(F.length(hex_text) == 64, F.unhex(hex_text))
 
 
+def _block_range(blocks_per_bucket: int) -> Column:
+    return F.floor(F.col("block") / blocks_per_bucket).cast("bigint")
+
+
 def allowlist_asof(
     attempts: DataFrame, grants: DataFrame, owner: str, blocks_per_bucket: int = BLOCKS_PER_BUCKET
 ) -> DataFrame:
@@ -36,7 +39,7 @@ def allowlist_asof(
     timeline = marked.unionByName(changes, allowMissingColumns=True)
     scan = OrderedKeys(
         timeline, ["sender"], POSITION,
-        bucket=F.floor(F.col("block") / blocks_per_bucket).cast("bigint"),
+        bucket=_block_range(blocks_per_bucket),
     ).latest("_state", F.col("_granted"))
     return (
         scan.rows()
@@ -68,23 +71,18 @@ def ledger_of(attempts: DataFrame) -> DataFrame:
     )
 
 
-def merge_ledger(attempts: DataFrame) -> DataFrame:
-    """Adds ``outcome`` to every attempt: ``Recorded`` or the reason of its refusal."""
-    first = ledger_of(attempts).select(
-        "msg_id", F.struct(*POSITION).alias("_first")
-    )
-    is_first = F.struct(*POSITION) == F.col("_first")
-    return (
-        skew_join(attempts, first, ["msg_id"], POSITION)
-        .withColumn(
-            "outcome",
-            F.coalesce(
-                _refusal(),
-                F.when(is_first, F.lit("Recorded")).otherwise(F.lit("AlreadyRecorded")),
-            ),
-        )
-        .drop("_first")
-    )
+def merge_ledger(attempts: DataFrame, blocks_per_bucket: int = BLOCKS_PER_BUCKET) -> DataFrame:
+    """Adds ``outcome`` to every attempt: ``Recorded`` or the reason of its refusal.
+
+    An id that is replayed very often is cut by block ranges, so counting its valid
+    writes in order is spread like any other work.
+    """
+    good = _refusal().isNull()
+    scan = OrderedKeys(
+        attempts, ["msg_id"], POSITION, bucket=_block_range(blocks_per_bucket)
+    ).running("_valid_no", F.when(good, F.lit(1)))
+    write = F.when(F.col("_valid_no") == 1, F.lit("Recorded")).otherwise(F.lit("AlreadyRecorded"))
+    return scan.rows().withColumn("outcome", F.coalesce(_refusal(), write)).drop("_valid_no")
 
 
 def lookup_ledger(findings: DataFrame, ledger: DataFrame) -> DataFrame:

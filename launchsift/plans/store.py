@@ -209,7 +209,7 @@ AUDIT = {
     with_views(**AUDIT, body="select msg_id, sender, block, idx, outcome from outcomes"),
 )
 def merged(t):
-    return ledger.merge_ledger(judged(t)).select(
+    return ledger.merge_ledger(judged(t), blocks_per_bucket=365).select(
         F.lower(F.hex("msg_id")).alias("msg_id"), "sender", "block", "idx", "outcome"
     )
 
