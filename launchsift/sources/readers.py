@@ -15,13 +15,14 @@ from launchsift.functions.text import strip
 ITEMS = "array<string>"
 
 
-def _reader(spark: SparkSession, stream: bool, files_per_trigger: int | None):
+# Messages are read in small batches; with one message per file this is the batch size.
+BATCH_FILES = 16
+
+
+def _reader(spark: SparkSession, stream: bool, files_per_trigger: int):
     if not stream:
         return spark.read
-    reader = spark.readStream
-    return reader if files_per_trigger is None else reader.option(
-        "maxFilesPerTrigger", files_per_trigger
-    )
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
 
 
 def page_items(page: Column) -> Column:
@@ -35,7 +36,7 @@ def page_items(page: Column) -> Column:
 
 
 def read_launch_feed(
-    spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int = BATCH_FILES
 ) -> DataFrame:
     """(page, pos, item): one row per item of every stored feed page."""
     pages = _reader(spark, stream, files_per_trigger).option("wholetext", True).text(path)
@@ -64,7 +65,7 @@ def decode_envelopes(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_envelopes(
-    spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int = BATCH_FILES
 ) -> DataFrame:
     return decode_envelopes(_reader(spark, stream, files_per_trigger).text(path))
 
@@ -91,7 +92,9 @@ def read_explorer_extract(spark: SparkSession, path: str, kind: str) -> DataFram
     return explorer_rows(spark.read.schema(schema).json(path), kind)
 
 
-def read_snippets(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_snippets(
+    spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int = BATCH_FILES
+) -> DataFrame:
     """(channel, pos, text) message extracts."""
     schema = "channel STRING, pos BIGINT, text STRING"
-    return _reader(spark, stream, None).schema(schema).json(path)
+    return _reader(spark, stream, files_per_trigger).schema(schema).json(path)

@@ -17,7 +17,6 @@ from launchsift.operators.delivery import match_threshold, undelivered
 from launchsift.operators.validate import split_quarantine, validate_envelopes
 from launchsift.sources.sinks import store_findings
 
-BATCH_FILES = 16
 BLOCK = "5 seconds"
 
 

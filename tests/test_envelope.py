@@ -169,3 +169,28 @@ def test_stored_findings_ignore_repeats(spark, tmp_path):
     sinks.store_findings(sealed, path)
     sinks.store_findings(sealed.unionByName(sealed), path)
     assert sinks.read_findings(spark, path).count() == 1
+
+
+def test_call_log_zeroes_failures(spark, table, tmp_path):
+    from datetime import datetime, timezone
+    from decimal import Decimal
+
+    when = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    calls = table(
+        [("a", True, 5, 6, Decimal("1.5"), when), ("b", False, 5, 6, Decimal("1.5"), when)],
+        "agent string, success boolean, input_tokens bigint, output_tokens bigint, cost_usd decimal(10,6), "
+        "created_at timestamp",
+    )
+    sinks.append_llm_calls(calls, str(tmp_path / "calls"))
+    sinks.append_llm_calls(calls, str(tmp_path / "calls"))
+    back = spark.read.parquet(str(tmp_path / "calls"))
+    assert back.count() == 4
+    assert {tuple(r) for r in back.filter("not success").select("input_tokens", "cost_usd").collect()} == {(0, Decimal(0))}
+
+
+def test_snippets_and_explorer_files(spark, tmp_path, rows):
+    (tmp_path / "s.json").write_text('{"channel":"c","pos":1,"text":"hi"}\n')
+    assert rows(readers.read_snippets(spark, str(tmp_path / "s.json"))) == [("c", 1, "hi")]
+    (tmp_path / "t.json").write_text('{"token_address":"t","result":[{"timeStamp":"5","value":"7"}, "bad"]}\n')
+    got = readers.read_explorer_extract(spark, str(tmp_path / "t.json"), "transfers")
+    assert rows(got) == [("t", 0, "5", "7", None)]
