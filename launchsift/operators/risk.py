@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchsift.functions.constants import PAIR_TIMEOUT_S, TEXT_NO_MODEL
 from launchsift.functions.rules import Rule, default_rules
 from launchsift.functions.text import chosen, micros
-from launchsift.operators.ordered import DAY_S, OrderedKeys
+from launchsift.operators.ordered import BUCKET, DAY_S, bucket_of
 
 SIDES = ("social", "chain")
 FORCED_TAG, FORCED_SCORE = "honeypot-suspected", 5
@@ -54,36 +54,72 @@ def pair_outcomes(
     or ``waiting`` (no later signal of that token).
     """
     limit = int(timeout_s * 1_000_000)
-    here = F.struct(
-        F.col("msg_id").alias("id"), F.col("side").alias("side"), micros(F.col("ts")).alias("at")
+    at = micros(F.col("ts"))
+    here = F.struct(F.col("msg_id").alias("id"), F.col("side").alias("side"), at.alias("at"))
+
+    def linked(before: Column, after: Column) -> Column:
+        return (before["side"] != after["side"]) & (after["at"] - before["at"] <= limit)
+
+    # Inside each (token, time bucket); "_broke" is the last position that does not link
+    # to its predecessor.  The first row is left open, as its predecessor is elsewhere.
+    cell = [token, BUCKET]
+    inside = Window.partitionBy(*cell).orderBy("ts", "msg_id")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = (
+        signals.withColumns({BUCKET: bucket_of(F.col("ts"), bucket_s), "_here": here})
+        .withColumns(
+            {
+                "_prev": F.lag("_here").over(inside),
+                "_succ": F.lead("_here").over(inside),
+                "_no": F.row_number().over(inside).cast("bigint"),
+                "_head": F.first("_here").over(whole),
+            }
+        )
+        .withColumn("_link", linked(F.col("_prev"), F.col("_here")))
+        .withColumn("_broke", F.max(F.when(~F.col("_link"), F.col("_no"))).over(upto))
     )
-    prev, succ, at = F.col("_prev"), F.col("_succ"), micros(F.col("ts"))
-    in_time_before = (at - prev["at"]) <= limit
-    in_time_after = (succ["at"] - at) <= limit
-    link = F.coalesce((prev["side"] != F.col("side")) & in_time_before, F.lit(False))
-    scan = (
-        OrderedKeys(signals, [token], ["ts", "msg_id"], bucket_s)
-        .previous("_prev", here)
-        .following("_succ", here)
-        .running("_no", F.lit(1))
-        .with_column("_link", link)
-        .latest("_start", F.when(~F.col("_link"), F.col("_no")))
-        .with_column("_second", F.col("_link") & ((F.col("_no") - F.col("_start")) % 2 == 1))
+
+    # One row per bucket, carried along the token: the neighbours across the border, the
+    # number of earlier signals and the last break among them.
+    along = Window.partitionBy(token).orderBy(BUCKET)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    own_break = F.coalesce(F.col("_broke"), F.when(~F.col("_first_links"), F.lit(1)))
+    carried = (
+        near.filter(F.col("_succ").isNull())
+        .select(
+            *cell, "_broke", "_no",
+            F.lag("_here").over(along).alias("_before"),
+            F.lead("_head").over(along).alias("_after"),
+            F.coalesce(F.sum("_no").over(earlier), F.lit(0)).alias("_skipped"),
+            "_head",
+        )
+        .withColumn(
+            "_first_links", F.coalesce(linked(F.col("_before"), F.col("_head")), F.lit(False))
+        )
+        .withColumn("_last_break", F.max(F.col("_skipped") + own_break).over(earlier))
+        .select(*cell, "_before", "_after", "_skipped", "_first_links", "_last_break")
     )
-    first = ~F.col("_second") & (succ["side"] != F.col("side")) & in_time_after
+
+    link = F.coalesce(F.col("_link"), F.col("_first_links"))
+    start = F.coalesce(
+        F.col("_skipped") + F.col("_broke"),
+        F.when(~F.col("_first_links"), F.col("_skipped") + 1),
+        F.col("_last_break"),
+    )
+    odd = (F.col("_skipped") + F.col("_no") - start) % 2 == 1
+    prev, succ = F.coalesce("_prev", "_before"), F.coalesce("_succ", "_after")
+    second = link & odd
+    first = ~second & F.coalesce(linked(F.col("_here"), succ), F.lit(False))
     outcome = (
-        F.when(F.col("_second") | F.coalesce(first, F.lit(False)), F.lit("paired"))
+        F.when(second | first, F.lit("paired"))
         .when(succ.isNull(), F.lit("waiting"))
-        .when(in_time_after, F.lit("replaced"))
+        .when(succ["at"] - F.col("_here.at") <= limit, F.lit("replaced"))
         .otherwise(F.lit("expired"))
     )
-    partner = F.when(F.col("_second"), prev["id"]).when(
-        F.coalesce(first, F.lit(False)), succ["id"]
-    )
-    return (
-        scan.rows()
-        .withColumns({"outcome": outcome, "partner_id": partner})
-        .drop("_prev", "_succ", "_link", "_no", "_start", "_second")
+    partner = F.when(second, prev["id"]).when(first, succ["id"])
+    return near.drop("_head").join(carried, cell, "left").select(
+        *signals.columns, outcome.alias("outcome"), partner.alias("partner_id")
     )
 
 
