@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchsift.llm import decontaminate, secrets, shards
+from launchsift.llm import decontaminate, minhash, pieces, secrets, shards
 from launchsift.llm.common import sorted_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,33 @@ def op2(spark, folder):
     return decontaminate.digest(found)
 
 
+# ------------------------------------------------------------------------------ near copies
+
+OP4_SQL = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 4), ' ') AS s
+  FROM doc, unnest(range(greatest(len(w) - 4, 0) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y USING (s)
+  WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+  WHERE 100 * k >= 80 * (p.n + q.n - k)),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM doc UNION SELECT reach.doc_id, b FROM reach JOIN link ON r = a)
+SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, doc.doc_id = c AS kept
+FROM doc LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op4_minhash", OP4_SQL)
+def op4(spark, folder):
+    found = minhash.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 # --------------------------------------------------------------------------------- sharding
 
 
@@ -108,3 +135,21 @@ def op10(spark, folder):
         sorted_digest(F.col("base_spans")).alias("base_sha256"),
         F.array_join("spans", ",").alias("spans"),
     )
+
+
+# ------------------------------------------------------------------------------- tokenizing
+
+
+@query("op9_pieces")
+def op9(spark, folder):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
