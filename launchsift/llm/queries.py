@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchsift.llm import decontaminate, minhash, pieces, secrets, shards
+from launchsift.llm import (
+    decontaminate,
+    licenses,
+    minhash,
+    pieces,
+    quality,
+    secrets,
+    shards,
+    toxicity,
+    urls,
+    vectors,
+)
 from launchsift.llm.common import sorted_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +42,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# --------------------------------------------------------------------------------- toxicity
+
+
+@query("op1_toxicity")
+def op1(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 # -------------------------------------------------------------------------- decontamination
 
 OP2_SQL = f"""
@@ -61,6 +80,28 @@ def op2(spark, folder):
     return decontaminate.digest(found)
 
 
+# ------------------------------------------------------------------------------ near vectors
+
+OP3_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y
+  ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN link ON r = a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = e.vec_id) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id) USING (vec_id)
+"""
+
+
+@query("op3_projection_passes", OP3_SQL)
+def op3(spark, folder):
+    return vectors.near_vectors(table(spark, folder, "embeddings"), 0.9)
+
+
 # ------------------------------------------------------------------------------ near copies
 
 OP4_SQL = rf"""
@@ -88,6 +129,41 @@ def op4(spark, folder):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+# -------------------------------------------------------------------------------------- urls
+
+
+@query("op5_url_model")
+def op5(spark, folder):
+    return urls.judge_urls(table(spark, folder, "pages"))
+
+
+# ------------------------------------------------------------------------- quality, licenses
+
+
+@query("op6_quality")
+def op6(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_licenses")
+def op7(spark, folder):
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+
+    def joined(label_lists):
+        return F.array_join(F.array_sort(F.array_distinct(label_lists)), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").alias("first_word"),
+        F.array_max("base.first").alias("last_word"),
+        joined(F.col("base.label")).alias("base_labels"),
+        joined(F.col("spans.label")).alias("labels"),
+        "score",
+    )
+
+
 # --------------------------------------------------------------------------------- sharding
 
 
