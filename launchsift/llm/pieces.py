@@ -23,13 +23,13 @@ from launchsift.llm.common import packed, unpacked
 
 SPACE = "▁"
 #: Words remembered with their ids by one worker; the memory is emptied when it is full.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 #: Longer words are cut where no piece can reach across, and are not remembered.
 LONG = 48
-#: Characters of text encoded together.
-CHUNK = 2_000_000
+#: Documents encoded or decoded together.
+SLICE = 256
 
-_RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
+_RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NONE = np.int32(2**31 - 1)
 _SHIFT = 21  # bits of a symbol: a piece id, or the piece count plus a code point
 
@@ -102,6 +102,7 @@ class Pieces:
                 self.shown[i] = " ⁇ ".encode()
             elif p.type != kind.CONTROL:
                 self.shown[i] = p.piece.replace(SPACE, " ").encode()
+        self.shown = np.array(self.shown, object)
         scores = sorted({-model.pieces[i].score for i in normal.values()})
         order = {s: r for r, s in enumerate(scores)}
         rank = np.full(self.count + 1, _NONE, np.int32)  # the last stands for "no pair"
@@ -133,13 +134,16 @@ class Pieces:
         self.pairs, self.neighbours = PairTable(pairs), PairTable(neighbours)
         alone = np.bincount(rank[list(normal.values())], minlength=len(scores)) == 1
         self.at_once = (part_of > rank[:-1]) & alone[np.minimum(rank[:-1], len(scores) - 1)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: No piece holds a line feed among other characters, so words may end at it.
+        self.line_alone = not any("\n" in piece and len(piece) > 1 for piece in normal)
+        self.shared = np.array(range(self.count + 1), object)
+        self.known: dict[str, tuple[int, ...]] = {"": ()}
 
     # ------------------------------------------------------------------------------ encoding
 
-    def _merge(self, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Final symbols of every word; ``symbols`` holds the words one after the other."""
-        done: list[np.ndarray] = [symbols[:0]] * len(lengths)
+    def _merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of all words, one after the other, and how many each has."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         owner = np.arange(len(lengths))  # the word that each remaining segment is
         word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         made = self._pairs_at(symbols, word, np.arange(len(symbols)))
@@ -150,9 +154,8 @@ class Pieces:
             best = np.minimum.reduceat(ranks, starts)
             over = best == _NONE
             if over.any():
-                for k in np.flatnonzero(over).tolist():
-                    done[owner[k]] = symbols[starts[k] : starts[k] + sizes[k]]
                 stay = np.repeat(~over, sizes)
+                done.append((owner[over], sizes[over], symbols[~stay]))
                 symbols, made, ranks = symbols[stay], made[stay], ranks[stay]
                 owner, sizes, best = owner[~over], sizes[~over], best[~over]
                 word = np.repeat(np.arange(len(owner), dtype=np.int32), sizes)
@@ -171,7 +174,15 @@ class Pieces:
             symbols, word, made = symbols[stay], word[stay], made[stay]
             fresh = np.concatenate((moved, moved[moved > 0] - 1))
             made[fresh] = self._pairs_at(symbols, word, fresh)
-        return done
+        counts = np.zeros(len(lengths), np.int64)
+        for words, sizes, _ in done:
+            counts[words] = sizes
+        begins = np.cumsum(counts) - counts
+        flat = np.empty(counts.sum(), np.int32)
+        for words, sizes, final in done:
+            inside = np.arange(len(final)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            flat[np.repeat(begins[words], sizes) + inside] = final
+        return flat, counts
 
     def _pairs_at(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The piece that each place and its right neighbour make, -1 (no pair) at word ends."""
@@ -181,10 +192,9 @@ class Pieces:
         return found
 
     def _words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words, each of which begins behind a space symbol that it does not hold."""
-        texts = [SPACE + w for w in words]
-        symbols = self.symbols[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
-        lengths = np.array([len(t) for t in texts])
+        """Ids of words, none of them empty."""
+        symbols = self.symbols[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         cuts = [0]
         if lengths.max(initial=0) > LONG:
@@ -194,17 +204,17 @@ class Pieces:
             cuts = at[self.neighbours(symbols[at], symbols[at + 1]) < 0] + 1
         bounds = np.union1d(ends, np.asarray(cuts, np.int64))
         bounds = bounds[bounds > 0]
-        parts = self._merge(symbols, np.diff(np.concatenate(([0], bounds))))
-        upto = np.searchsorted(bounds, ends) + 1
-        out, begin = [], 0
-        for end in upto.tolist():
-            ids = parts[begin] if end == begin + 1 else np.concatenate(parts[begin:end])
-            out.append(tuple(ids.tolist()) if ids.max() < self.count else tuple(self._with_bytes(ids)))
-            begin = end
+        flat, counts = self._merge(symbols, np.diff(np.concatenate(([0], bounds))))
+        upto = np.cumsum(counts)[np.searchsorted(bounds, ends)]
+        unknown = np.flatnonzero(flat >= self.count)
+        ids, at = self.shared[np.minimum(flat, self.count)].tolist(), [0, *upto.tolist()]
+        out = [tuple(ids[b:e]) for b, e in zip(at, at[1:])]
+        for w in np.unique(np.searchsorted(upto, unknown, side="right")).tolist():
+            out[w] = tuple(self._with_bytes(flat[at[w] : at[w + 1]].tolist()))
         return out
 
-    def _with_bytes(self, ids: np.ndarray) -> Iterator[int]:
-        for i in ids.tolist():
+    def _with_bytes(self, ids: list[int]) -> Iterator[int]:
+        for i in ids:
             if i < self.count:
                 yield i
             else:
@@ -216,13 +226,16 @@ class Pieces:
         for text in texts:
             if not text:
                 split.append([])
-            elif SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-                split.append([w[1:] for w in _RUN.findall(SPACE + text.replace(" ", SPACE))])
-            else:
-                split.append(text.split(" "))
+                continue
+            clean = SPACE not in text and "  " not in text and text[0] != " "
+            text = SPACE + text.replace(" ", f" {SPACE}" if clean else SPACE)
+            if self.line_alone:
+                text = text.replace("\n", " \n ")
+            split.append(text.split(" ") if clean else [r for w in text.split(" ") for r in _RUN.findall(w)])
         found = self.known
         if len(found) > REMEMBERED:
             found.clear()
+            found[""] = ()
         new = list(set(chain.from_iterable(split)).difference(found))
         found.update(zip(new, self._words(new), strict=True)) if new else None
         out = [list(chain.from_iterable(map(found.__getitem__, words))) for words in split]
@@ -235,9 +248,9 @@ class Pieces:
 
     # ------------------------------------------------------------------------------ decoding
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: control ids vanish, the dummy prefix goes, byte ids join to characters."""
-        text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(self.shown[ids].tolist()).decode("utf-8", "replace") if len(ids) else ""
         return text[1:] if text.startswith(" ") else text
 
 
@@ -246,16 +259,9 @@ def _model(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _chunks(texts: list, size: int = CHUNK) -> Iterator[list]:
-    part, held = [], 0
-    for t in texts:
-        if part and held + len(t) > size:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t)
-    if part:
-        yield part
+def _slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
 
 
 def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
@@ -268,16 +274,13 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            for part in _chunks(texts):
-                ids = pa.array(model.encode(part), pa.list_(pa.int32()))
+            for part in _slices(batch):
+                ids = model.encode([t or "" for t in part.column("row").field("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(at, len(part)), ids], names=["row", "ids"]
+                    [part.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"]
                 )
-                at += len(part)
 
-    return _mapped(docs, F.col("row.text").alias("text"), run, "ids", T.ArrayType(T.IntegerType()), column)
+    return _mapped(docs, run, "ids", T.ArrayType(T.IntegerType()), column)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -286,20 +289,19 @@ def decode(df: DataFrame, path: str, ids: str = "ids", column: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            at = 0
-            for part in _chunks([i or [] for i in batch.column("ids").to_pylist()]):
-                texts = pa.array([model.decode(i) for i in part], pa.string())
+            for part in _slices(batch):
+                lists = [i.values for i in part.column("row").field(ids)]
+                texts = [model.decode([] if i is None else i.to_numpy(zero_copy_only=False)) for i in lists]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(at, len(part)), texts], names=["row", "decoded"]
+                    [part.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"]
                 )
-                at += len(part)
 
-    return _mapped(df, F.col(f"row.`{ids}`").alias("ids"), run, "decoded", T.StringType(), column)
+    return _mapped(df, run, "decoded", T.StringType(), column)
 
 
-def _mapped(df: DataFrame, given, run, name: str, kind: T.DataType, column: str) -> DataFrame:
+def _mapped(df: DataFrame, run, name: str, kind: T.DataType, column: str) -> DataFrame:
     rows = packed(df)
     schema = T.StructType([rows.schema["row"], T.StructField(name, kind)])
-    made = rows.select("row", given).mapInArrow(run, schema)
+    made = rows.mapInArrow(run, schema)
     columns = [c for c in df.columns if c != column]
     return unpacked(made, [*columns, column], **{column: F.col(name)})
