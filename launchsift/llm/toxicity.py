@@ -8,6 +8,7 @@ learn from predictions as uncertain as they will meet.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from launchsift.llm.common import packed, unpacked
+from launchsift.llm.common import packed, unpacked, written
 from launchsift.llm.sample import fold, labelled_sample
 
 #: Labelled documents used for fitting, half of them of either label where there are as many.
@@ -141,13 +142,16 @@ def learn_terms(sample: DataFrame, terms: int = TERMS, least: int = LEAST) -> li
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < n:
         return []
-    held = (
+    held = written(
         sample.select("text", F.col("label").cast("int").alias("label"))
         .mapInArrow(run, "term string, label int")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("docs"), F.sum("label").alias("bad"))
-        .filter(F.col("docs") >= least)
+        .filter(F.col("docs") >= least),
+        "terms",
     )
+    # A ratio above the logarithm of the number of terms is unlikely by chance for any of them.
+    by_chance = math.log(max(1, held.count())) + 1
     good, rest, clean = F.col("docs") - F.col("bad"), toxic - F.col("bad"), n - toxic
 
     def part(seen, expected):
@@ -159,6 +163,7 @@ def learn_terms(sample: DataFrame, terms: int = TERMS, least: int = LEAST) -> li
         + part(rest, (1 - share) * toxic) + part(clean - good, (1 - share) * clean)
     )
     best = held.filter(F.col("bad") / toxic > good / clean).withColumn("ratio", F.round(ratio, 6))
+    best = best.filter(F.col("ratio") >= by_chance)
     return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(terms).collect()]
 
 
