@@ -25,17 +25,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     labels = written(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("component")), "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("component").alias("near"))
-        lower = written(
-            labels.join(seen, "v").select("v", F.col("component").alias("old"), F.least("component", "near").alias("component")),
-            "labels",
-        )
-        jump = lower.select(F.col("v").alias("component"), F.col("component").alias("next"))
+        near = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("component").alias("near"))
+        lower = labels.join(near, "v").select("v", F.col("component").alias("old"), F.least("component", "near").alias("low"))
+        jump = labels.select(F.col("v").alias("low"), F.col("component").alias("next"))
         after = written(
-            lower.join(jump, "component", "left")
-            .select("v", "old", F.least("component", F.coalesce("next", "component")).alias("component")),
-            "labels",
+            lower.join(jump, "low").select("v", "old", F.least("low", "next").alias("component")), "labels"
         )
-        if after.filter("old != component").isEmpty():
+        if after.filter("old <> component").isEmpty():
             return after.select("v", "component")
         labels = after.select("v", "component")

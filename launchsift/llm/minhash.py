@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct word shingles; its sketch reta
 lowest.  Documents with equal sets are one class.  Inverted lists of retained values, of
 each sketch's rarest ones only, propose pairs; the union sketch estimates their similarity
 and the full sets decide.  In a long list the members meet hubs first, so that groups of
-copies join without all their pairs; only members of a list that are still in different
-components then meet each other.
+copies join without all their pairs.  Of the members that are still in different components,
+those that share too few hashes with other components to be similar to any of them are done;
+the rest are compared with their group in tiles, which return links and no other pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -24,13 +26,15 @@ from launchsift.llm.components import components
 
 #: Retained values of a sketch.
 SKETCH = 64
-#: Retained values that a similar pair shares at least: at similarity 0.8 the number is
-#: binomial (64, 0.8), and fewer than 36 have a chance of about one in a million.
-SHARED = 36
+#: Retained values that a similar pair shares at least.  Each sketch holds about 8 / 9 values
+#: of the other at similarity 0.8: 57 with a standard deviation of 2.6.
+SHARED = 43
 #: The union sketch may estimate so much too low (five standard deviations).
 SLACK = 0.25
-#: Hub rounds before the members of a list that are still apart meet each other.
-ROUNDS = 4
+#: Hashes on one side of a tile when the members of a group that are still apart meet.
+TILE = 100_000
+#: Columns of a tile's incidence matrix that are multiplied at once.
+COLUMNS = 4096
 #: Words remembered with their hash by one worker.
 REMEMBERED = 400_000
 
@@ -120,7 +124,7 @@ def _again(first, rest):
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(v, hashes): the whole set of each class in ``wanted`` (w_id, w_key, v), as int64 bytes."""
+    """(v, hashes): the whole set of each class in ``wanted`` (w_id, w_key, v)."""
     rows = (
         docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
         .join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")))
@@ -128,10 +132,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     )
 
     def run(batches):
-        schema = pa.schema([("v", pa.binary()), ("hashes", pa.binary())])
-        yield from _blocks(((v, h.tobytes()) for (v,), h in _texts(batches, size)), schema, 200)
+        schema = pa.schema([("v", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+        yield from _blocks(((v, h) for (v,), h in _texts(batches, size)), schema, 200)
 
-    return rows.mapInArrow(run, "v binary, hashes binary")
+    return rows.mapInArrow(run, "v binary, hashes array<long>").dropDuplicates(["v"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +145,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -151,27 +155,27 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _retained_lists(classes: DataFrame, k: int, shared: int) -> DataFrame:
-    """(value, v, n): every class under the rarest retained values of its sketch.
+def _retained_lists(classes: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
+    """(value, v, n, alone): every class under the rarest retained values of its sketch.
 
     Two sketches with ``shared`` values in common also share one of their rarest
     ``size - shared + 1`` values, in any fixed order of all values; by rarity, values that
-    many documents hold (such as a common passage) propose few pairs.  Smaller sketches are
-    whole sets and need the same share.
+    many documents hold (such as a common passage) propose few pairs.  A sketch that is a
+    whole set shares ``percent`` of it.  ``alone`` counts the values that no other class retains.
     """
     spread = classes.select("v", "n", F.explode("sketch").alias("value"))
     frequent = written(
         spread.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent-values"
     )
     size = F.least("n", F.lit(k))
-    prefix = size - F.ceil(size * shared / k) + 1
+    prefix = size - F.when(F.col("n") <= k, F.ceil(size * percent / 100)).otherwise(shared) + 1
     mine = Window.partitionBy("v")
     return (
         spread.join(frequent, "value")
         .withColumn("alone", size - F.count(F.lit(1)).over(mine))
         .withColumn("rank", F.row_number().over(mine.orderBy("df", "value")))
         .filter(F.col("rank") <= prefix - F.col("alone"))
-        .select("value", "v", "n")
+        .select("value", "v", "n", "alone")
     )
 
 
@@ -179,11 +183,55 @@ def _close(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int = SKETCH, shared: int = SHARED) -> DataFrame:
-    """(v, component): classes that have a similar partner, with their component."""
-    lists = written(_retained_lists(classes, k, shared), "retained")
+def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``lists`` with the component ``c`` of every row, at first the class itself."""
+    if label is None:
+        return lists.withColumn("c", F.col("v"))
+    named = label.select("v", F.col("component").alias("c"))
+    return lists.join(named, "v", "left").withColumn("c", F.coalesce("c", "v"))
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components."""
+    sizes = labelled.groupBy("value").agg(
+        F.min(F.xxhash64("c")).alias("low"), F.max(F.xxhash64("c")).alias("high"), F.min("n").alias("shortest")
+    )
+    several = written(sizes.filter("low <> high").select("value", "shortest"), "open-lists")
+    return written(labelled.join(several, "value"), "open")
+
+
+def _able(mine: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of open lists whose class can still be similar to one of another component.
+
+    Only hashes that another component holds too can be shared with it; with a partner of m
+    elements a set of n must share percent / (100 + percent) * (n + m) of them, and no partner
+    is shorter than the list's shortest member or than ``percent`` of n.
+    """
+    named = written(mine.select("v", F.xxhash64("c").alias("c")).distinct(), "open-classes")
+    spread = sets.join(small_or_shuffled(named), "v").select("v", "c", F.explode("hashes").alias("hash"))
+    shared = (
+        spread.groupBy("hash").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+        .filter("low <> high").select("hash")
+    )
+    # Hashes that several components hold are as frequent as they are; written, the join is split.
+    usable = (
+        spread.select("v", "hash").join(written(shared, "shared-hashes"), "hash")
+        .groupBy("v").agg(F.count(F.lit(1)).alias("usable"))
+    )
+    least = F.greatest(F.col("shortest"), F.ceil(F.col("n") * percent / 100))
+    return mine.join(written(usable, "usable"), "v").filter(
+        (100 + percent) * F.col("usable") >= percent * (F.col("n") + least)
+    ).drop("usable")
+
+
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int = SKETCH, shared: int = SHARED) -> DataFrame | None:
+    """(v, component): classes that have a similar partner, with their component; None without pairs."""
+    lists = written(_retained_lists(classes, percent, k, shared), "retained")
     sketch = classes.select("v", "sketch")
-    tested = found = label = None
+    wanted = lists.select("v").distinct().join(
+        classes.select("v", F.col("doc_id").alias("w_id"), F.col("key").alias("w_key")), "v"
+    )
+    sets = written(full_sets(docs, small_or_shuffled(written(wanted, "listed")), size), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Estimate by the union sketch, then decide by the full sets."""
@@ -193,66 +241,91 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int =
         likely = written(
             both.filter(common >= F.size(union) * (percent / 100 - SLACK)).select("a", "b"), "likely"
         )
-        ends = likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct()
-        wanted = written(
-            ends.join(classes.select("v", F.col("doc_id").alias("w_id"), F.col("key").alias("w_key")), "v"), "ends"
-        )
-        sets = written(full_sets(docs, small_or_shuffled(wanted), size), "sets")
-        return written(_similar(likely, sets, percent), "links")
-
-    def labelled() -> DataFrame:
-        if label is None:
-            return lists.withColumn("c", F.col("v"))
-        named = label.select("v", F.col("component").alias("c"))
-        return lists.join(named, "v", "left").withColumn("c", F.coalesce("c", "v"))
-
-    def apart() -> tuple[DataFrame, int, int]:
-        """Lists that hold several components, their rows and the pairs across components."""
-        sizes = labelled().groupBy("value", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        open_ = written(
-            sizes.groupBy("value").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("squares"))
-            .filter("parts > 1")
-            .select("value", "rows", ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("pairs")),
-            "open-lists",
-        )
-        rows, pairs = open_.agg(F.coalesce(F.sum("rows"), F.lit(0.0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
-        return open_.select("value"), rows, pairs
-
-    for turn in range(ROUNDS + 1):
-        open_, rows, across = apart()
-        if not across:
-            break
-        mine = written(labelled().join(open_, "value"), "open")
-        last = turn == ROUNDS or across <= 2 * rows
-        if last:
-            left = mine.select("value", F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-            right = mine.select("value", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-            pairs = left.join(right, "value").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
-        else:
-            # The first hub is the same in all lists of a group; later ones differ by list.
-            order = F.xxhash64("v") if turn == 0 else F.xxhash64("v", "value", F.lit(turn))
-            hubs = written(
-                mine.groupBy("value").agg(F.min(F.struct(order.alias("o"), "v", "n", "c")).alias("hub"))
-                .select("value", F.col("hub.v").alias("h"), F.col("hub.n").alias("n_b"), F.col("hub.c").alias("c_b")),
-                "hubs",
-            )
-            pairs = (
-                mine.join(hubs, "value")
-                .withColumn("n_a", F.col("n")).withColumn("c_a", F.col("c"))
-                .withColumn("a", F.least("v", "h")).withColumn("b", F.greatest("v", "h"))
-                .filter("c_a != c_b")
-            )
-        pairs = pairs.filter(_close("n_a", "n_b", percent)).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = verified(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = new if found is None else found.union(new)
-        label = components(found)
-        if last:
-            break
-    return label
+        ends = written(likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct(), "ends")
+        needed = sets.join(small_or_shuffled(ends), "v", "left_semi")
+        return written(_similar(likely, needed, percent), "links")
+
+    # Every list's most typical member is its hub, mostly the same one in all lists of a group.
+    order = F.struct("alone", F.xxhash64("v"))
+    hubs = written(
+        lists.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(order.alias("o"), "v", "n")).alias("hub"))
+        .filter("members > 1")
+        .select("value", F.col("hub.v").alias("h"), F.col("hub.n").alias("m")),
+        "hubs",
+    )
+    if hubs.isEmpty():
+        return None
+    pairs = lists.join(hubs, "value").filter((F.col("v") != F.col("h")) & _close("n", "m", percent)).select(
+        F.least("v", "h").alias("a"), F.greatest("v", "h").alias("b")
+    ).distinct()
+    found = verified(written(pairs, "pairs"))
+    label = components(found)
+    mine = _open(_labelled(lists, label))
+    if mine.isEmpty():
+        return label
+    able = written(_able(mine, sets, percent), "able")
+    return components(found.union(written(_links_in_groups(able, sets, percent), "links")))
+
+
+def _links_in_groups(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components among the rows (value, v, n, c) of lists.
+
+    Lists with common members make a group.  All members of a group outside its largest
+    component are compared with the whole group; of the links between a member and another
+    component a tile returns one.
+    """
+    star = able.groupBy("value").agg(F.min("v").alias("star"))
+    groups = components(able.join(written(star, "stars"), "value").select("v", "star").distinct(), "v", "star")
+    members = written(
+        able.select("v", "n", F.xxhash64("c").alias("c")).distinct().join(groups.withColumnRenamed("component", "g"), "v"),
+        "group-members",
+    )
+    parts = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes"))
+    sizes = written(
+        parts.groupBy("g").agg(
+            F.max_by("c", F.struct("rows", "c")).alias("main"),
+            F.sum("hashes").alias("all"),
+            (F.sum("hashes") - F.max_by("hashes", F.struct("rows", "c"))).alias("rest"),
+            F.count(F.lit(1)).alias("parts"),
+        ).filter("parts > 1").select(
+            "g", "main", F.ceil(F.col("all") / TILE).alias("m_parts"), F.ceil(F.col("rest") / TILE).alias("o_parts")
+        ),
+        "group-sizes",
+    )
+    spot = F.xxhash64("v")
+    placed = members.join(sizes, "g").withColumn("asks", F.col("c") != F.col("main"))
+
+    def upto(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+
+    asking = placed.filter("asks").select("g", F.pmod(spot, "o_parts").alias("i"), upto("m_parts").alias("j"), "asks", "v", "c")
+    asked = placed.select("g", upto("o_parts").alias("i"), F.pmod(spot, "m_parts").alias("j"), F.lit(False).alias("asks"), "v", "c")
+
+    def meet(pdf):
+        ask, rest = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        both = [*ask["hashes"], *rest["hashes"]]
+        sizes = np.array([len(h) for h in both])
+        row = np.repeat(np.arange(len(both)), sizes)
+        _, column, times = np.unique(np.concatenate(both) if both else np.zeros(0), return_inverse=True, return_counts=True)
+        shared = times[column] > 1  # hashes of one row only are common to no pair
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        k = len(ask)
+        common = np.zeros((k, len(rest)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            mine = (column >= at) & (column < at + COLUMNS)
+            cells = np.zeros((len(both), COLUMNS), np.float32)
+            cells[row[mine], column[mine] - at] = 1
+            common += cells[:k] @ cells[k:].T
+        total = sizes[:k, None] + sizes[None, k:] - common
+        c, d = ask["c"].to_numpy(), rest["c"].to_numpy()
+        linked = (100 * common >= percent * total) & (c[:, None] != d[None, :])
+        x, y = np.nonzero(linked)
+        _, first = np.unique(np.column_stack((x, d[y])), axis=0, return_index=True)
+        v, w = ask["v"].tolist(), rest["v"].tolist()
+        return pd.DataFrame([sorted((v[x[i]], w[y[i]])) for i in first], columns=["a", "b"])
+
+    tiles = asking.union(asked).join(sets, "v").select("g", "i", "j", "asks", "v", "c", "hashes")
+    return tiles.groupBy("g", "i", "j").applyInPandas(meet, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
