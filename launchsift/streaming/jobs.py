@@ -7,17 +7,21 @@ repeats an unfinished one; the sinks ignore ids they already hold.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from launchsift.operators.delivery import match_threshold, undelivered
 from launchsift.operators.validate import split_quarantine, validate_envelopes
 from launchsift.sources.sinks import store_findings
 
 BLOCK = "5 seconds"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def run(
@@ -32,15 +36,57 @@ def run(
     Without ``continuous`` it processes what is there and stops.
     """
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": every} if continuous else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    return start(writer, continuous, every)
 
 
-def dedup_launches(
-    candidates: DataFrame, ts: str = "launch_ts", window: str = "24 hours"
-) -> DataFrame:
-    """One candidate per address and 24 hours."""
-    return candidates.withWatermark(ts, window).dropDuplicatesWithinWatermark(["token_address"])
+def start(writer: DataStreamWriter, continuous: bool = False, every: str = BLOCK) -> StreamingQuery:
+    """Starts ``writer`` for good or for what is there.
+
+    Timers by the clock ask for batches without data, with which a query over what is there
+    would never end; those are left out, and its timers fire with the next data.
+    """
+    if continuous:
+        return writer.trigger(processingTime=every).start()
+    conf = SparkSession.active().conf
+    before = conf.get(EMPTY_BATCHES)
+    conf.set(EMPTY_BATCHES, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(EMPTY_BATCHES, before)
+
+
+def dedup_launches(candidates: DataFrame, ts: str = "launch_ts", window_s: int = 86_400) -> DataFrame:
+    """One candidate per address and ``window_s`` seconds of ``ts``.
+
+    No row is too late: one that lies apart from every candidate passed on so far is passed
+    on, whenever it arrives.  The times passed on are remembered per address until the
+    address has been silent for the window by the clock.
+    """
+    limit = window_s * 1_000_000
+
+    def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("_at")
+        keep = []
+        for at in rows["_at"].astype(int):
+            keep.append(all(abs(at - k) >= limit for k in known))
+            if keep[-1]:
+                known.append(at)
+        state.update((known,))
+        state.setTimeoutDuration(window_s * 1000)
+        yield rows[keep].drop(columns="_at")
+
+    return (
+        candidates.withColumn("_at", F.unix_micros(ts))
+        .groupBy("token_address")
+        .applyInPandasWithState(
+            step, candidates.schema, "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        )
+    )
 
 
 def store_valid(

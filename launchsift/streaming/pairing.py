@@ -16,43 +16,17 @@ PAIRS = "token_address string, social_id string, chain_id string, missing string
 WAITING = "side string, msg_id string, at bigint"
 
 
-def pair_by_interval(
-    social: DataFrame, chain: DataFrame, timeout_s: int = PAIR_TIMEOUT_S, lateness: str = "2 minutes"
-) -> DataFrame:
-    """Full outer stream join within the timeout.
+def pair_exact(signals: DataFrame, timeout_s: int = PAIR_TIMEOUT_S, idle_s: float | None = None) -> DataFrame:
+    """Consuming pairing in arrival order: at most one waiting signal per token.
 
-    Equal to the exact form where each side has at most one row per token and timeout.
-    Unmatched rows appear once the watermark has passed their interval.
-    """
-    s = social.withWatermark("ts", lateness).select(
-        F.col("token_address").alias("s_token"), F.col("msg_id").alias("social_id"),
-        F.col("ts").alias("s_ts"),
-    )
-    c = chain.withWatermark("ts", lateness).select(
-        F.col("token_address").alias("c_token"), F.col("msg_id").alias("chain_id"),
-        F.col("ts").alias("c_ts"),
-    )
-    span = F.expr(f"INTERVAL {timeout_s} SECONDS")
-    near = (F.col("c_ts") >= F.col("s_ts") - span) & (F.col("c_ts") <= F.col("s_ts") + span)
-    return s.join(c, (F.col("s_token") == F.col("c_token")) & near, "full_outer").select(
-        F.coalesce("s_token", "c_token").alias("token_address"),
-        "social_id",
-        "chain_id",
-        F.when(F.col("chain_id").isNull(), F.lit("chain"))
-        .when(F.col("social_id").isNull(), F.lit("social"))
-        .alias("missing"),
-    )
-
-
-def pair_exact(
-    signals: DataFrame, timeout_s: int = PAIR_TIMEOUT_S, lateness: str = "0 seconds"
-) -> DataFrame:
-    """Consuming pairing with per-token state: at most one waiting signal per token.
-
-    A row is compared with the waiting signal's expiry before it may match or replace it,
-    because the timer itself fires only after the watermark moved on.
+    No row is too late.  Two halves pair if their times lie within the timeout, whichever
+    arrives first; otherwise the older of them becomes a partial result.  Of two halves of
+    the same side the newer one waits on.  A half that meets no partner for ``idle_s``
+    seconds by the clock (the timeout, unless given) becomes partial too.  Where rows arrive
+    in order this equals the batch form.
     """
     limit = timeout_s * 1_000_000
+    idle_ms = int(1000 * (timeout_s if idle_s is None else idle_s))
 
     def half(token: str, side: str, msg_id: str) -> tuple:
         if side == "social":
@@ -67,37 +41,33 @@ def pair_exact(
         if state.hasTimedOut:
             out.append(half(token, waiting[0], waiting[1]))
             state.remove()
-            waiting = None
         else:
             rows = pd.concat(list(batches)).sort_values(["at", "msg_id"])
-            for side, msg_id, at in zip(rows["side"], rows["msg_id"], rows["at"]):
-                if waiting is not None and at - waiting[2] > limit:
-                    out.append(half(token, waiting[0], waiting[1]))
+            for new in zip(rows["side"], rows["msg_id"], rows["at"].astype(int)):
+                if waiting is None:
+                    waiting = new
+                elif abs(new[2] - waiting[2]) > limit:
+                    older, waiting = sorted((waiting, new), key=lambda s: s[2])
+                    out.append(half(token, older[0], older[1]))
+                elif waiting[0] == new[0]:
+                    waiting = max(waiting, new, key=lambda s: (s[2], s[1]))
+                else:
+                    named = dict([waiting[:2], new[:2]])
+                    out.append((token, named["social"], named["chain"], None))
                     waiting = None
-                if waiting is None or waiting[0] == side:
-                    waiting = (side, msg_id, int(at))
-                    continue
-                social, chain = (
-                    (msg_id, waiting[1]) if side == "social" else (waiting[1], msg_id)
-                )
-                out.append((token, social, chain, None))
-                waiting = None
-            if waiting is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(waiting)
-                expiry_ms = (waiting[2] + limit) // 1000 + 1
-                state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
+            if waiting is not None:
+                state.update((waiting[0], waiting[1], int(waiting[2])))
+                state.setTimeoutDuration(idle_ms)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame(
             out, columns=["token_address", "social_id", "chain_id", "missing"], dtype="object"
         )
 
     return (
-        signals.withWatermark("ts", lateness)
-        .withColumn("at", F.unix_micros("ts"))
+        signals.select("token_address", "side", "msg_id", F.unix_micros("ts").alias("at"))
         .groupBy("token_address")
         .applyInPandasWithState(
-            step, PAIRS, WAITING, "append", GroupStateTimeout.EventTimeTimeout
+            step, PAIRS, WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout
         )
     )
