@@ -50,17 +50,22 @@ def _canonical_or_none(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return json.dumps(
+        made = json.dumps(
             json.loads(text), sort_keys=True, ensure_ascii=False,
             separators=(",", ":"), allow_nan=False,
         )
-    except ValueError:
+        made.encode("utf-8")  # a lone surrogate has no UTF-8 form
+        return made
+    except (ValueError, RecursionError):
         return None
 
 
 @F.pandas_udf(T.StringType())
 def canonical_text(texts: pd.Series) -> pd.Series:
-    """Canonical form of arbitrary JSON texts; null where it is not finite JSON."""
+    """Canonical form of arbitrary JSON texts.
+
+    Null where the text is not finite JSON, nests too deeply or holds a lone surrogate.
+    """
     return texts.map(_canonical_or_none)
 
 

@@ -20,7 +20,8 @@ def digest_ordered_turns(
         current, digest = None, None
         for batch in batches:
             done = []
-            for value, part in batch.groupby(key, sort=False):
+            for value, part in batch.groupby(key, sort=False, dropna=False):
+                value = None if pd.isna(value) else value
                 if digest is not None and value != current:
                     done.append((current, digest.hexdigest()))
                     digest = None

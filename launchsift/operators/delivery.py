@@ -85,6 +85,22 @@ def reach_of_briefs(briefs: DataFrame, subs: DataFrame) -> DataFrame:
     )
 
 
+def deliveries_by_tier(briefs: DataFrame, subs: DataFrame) -> DataFrame:
+    """(tier, threshold, deliveries) that ``match_threshold`` would form, counted from both sides' counts.
+
+    ``tier`` is the rank of the briefs' conviction tier.  Either side is first reduced to a row
+    per tier.
+    """
+    per_tier = briefs.groupBy(tier_rank(F.col("conviction_tier")).alias("_tier")).agg(F.count(F.lit(1)).alias("_briefs"))
+    accepting = (
+        subs.filter("active").groupBy(F.lower("threshold").alias("threshold")).agg(F.count(F.lit(1)).alias("_chats"))
+        .withColumn("_tier", F.explode(F.sequence(tier_rank(F.col("threshold")), F.lit(len(TIERS) - 1))))
+    )
+    return per_tier.join(accepting, "_tier").select(
+        F.col("_tier").alias("tier"), "threshold", (F.col("_briefs") * F.col("_chats")).alias("deliveries")
+    )
+
+
 def undelivered(
     matches: DataFrame, sent: DataFrame, now: Column, memory_s: int = DELIVERY_MEMORY_S,
     bucket_s: float = DAY_S,

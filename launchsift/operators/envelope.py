@@ -89,41 +89,18 @@ def attach_receipts(findings: DataFrame, receipts: DataFrame, order: list[str])
     return base.join(latest, "msg_id", "left")
 
 
-def prompt_hash(
-    turns: DataFrame,
-    conversation: str = "conv_id",
-    order: str = "turn",
-    long_prompt_bytes: int = 64 << 20,
-) -> DataFrame:
+def prompt_hash(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
     """SHA-256 of the system text and then the ordered messages of each prompt.
 
-    Ordinary prompts are assembled and hashed in the JVM.  A prompt longer than
-    ``long_prompt_bytes`` is never assembled: its sorted rows are streamed through one
-    running digest, so memory stays at one batch whatever the size.
+    The sorted rows of every prompt run through one digest, so memory stays at one batch
+    whatever a prompt's size.  Turns without role or text add nothing.
     """
-    system_first = (F.col("role") != "system").cast("int")
     pieces = turns.select(
         conversation,
-        system_first.alias("_part"),
+        (F.col("role") != "system").cast("int").alias("_part"),
         F.col(order).alias("_turn"),
-        F.concat(F.col("role"), F.lit("\0"), F.col("text"), F.lit("\0")).alias("_piece"),
-    )
-    sizes = turns.groupBy(conversation).agg(
-        F.sum(F.octet_length("role") + F.octet_length("text") + 2).alias("_bytes")
-    )
-    long_ones = sizes.filter(F.col("_bytes") > long_prompt_bytes).select(conversation)
-    short = (
-        pieces.join(long_ones, conversation, "left_anti")
-        .groupBy(conversation)
-        .agg(F.array_sort(F.collect_list(F.struct("_part", "_turn", "_piece"))).alias("_all"))
-        .select(
-            conversation,
-            sha256_hex(F.array_join(F.transform("_all", lambda x: x["_piece"]), "")).alias(
-                "prompt_hash"
-            ),
-        )
-    )
-    long = digest_ordered_turns(
-        pieces.join(long_ones, conversation, "left_semi"), conversation, ["_part", "_turn"], "_piece"
+        F.coalesce(
+            F.concat(F.col("role"), F.lit("\0"), F.col("text"), F.lit("\0")), F.lit("")
+        ).alias("_piece"),
     )
-    return short.unionByName(long)
+    return digest_ordered_turns(pieces, conversation, ["_part", "_turn", "_piece"], "_piece")

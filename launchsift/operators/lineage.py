@@ -6,7 +6,7 @@ joins is always the stored table itself, where adaptive execution splits hot key
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +18,12 @@ PIPELINE_DEPTH = 4
 
 
 def cut_plan(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the session's shared checkpoint folder and reads it back.
-
-    The folder is the one named in ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Writes ``df`` to the folder named in ``spark.checkpoint.dir`` and reads it back."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="launchsift-checkpoint-")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -42,19 +35,17 @@ def lineage(
 
     Each finding appears once per start at its smallest depth, unknown parents are
     skipped and cycles end.  ``starts`` has one column ``start_id``.  One join per level
-    serves all starts together.  Every level is written to the checkpoint folder, so the
-    plan does not grow with the depth and a lost executor costs one level; the walk ends
-    at ``max_depth`` or at the first empty level.
+    serves all starts together.  Up to the pipeline's own depth that is a fixed chain of
+    joins; beyond it, or without a limit, every level is written to the checkpoint folder
+    and the walk ends at ``max_depth`` or at the first empty level.
     """
     nodes = findings.select("msg_id", "upstream_ids")
     frontier = starts.select("start_id", F.col("start_id").alias("msg_id")).distinct()
+    if max_depth is not None and max_depth <= PIPELINE_DEPTH:
+        return _fixed_walk(nodes, frontier, max_depth)
     closed, depth = None, 0
     while True:
-        level = cut_plan(
-            frontier.join(nodes, "msg_id").select(
-                "start_id", "msg_id", "upstream_ids", F.lit(depth).alias("depth")
-            )
-        )
+        level = cut_plan(_level(nodes, frontier, depth))
         found = level.select("start_id", "msg_id", "depth")
         closed = found if closed is None else closed.unionByName(found)
         if depth == max_depth or level.isEmpty():
@@ -67,6 +58,22 @@ def lineage(
         depth += 1
 
 
+def _level(nodes: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
+    return frontier.join(nodes, "msg_id").select(
+        "start_id", "msg_id", "upstream_ids", F.lit(depth).alias("depth")
+    )
+
+
+def _fixed_walk(nodes: DataFrame, frontier: DataFrame, max_depth: int) -> DataFrame:
+    """Levels 0 to ``max_depth`` as one plan; a finding keeps its smallest depth."""
+    levels = []
+    for depth in range(max_depth + 1):
+        levels.append(_level(nodes, frontier, depth))
+        frontier = levels[-1].select("start_id", F.explode("upstream_ids").alias("msg_id")).distinct()
+    every = reduce(DataFrame.unionByName, [x.select("start_id", "msg_id", "depth") for x in levels])
+    return every.groupBy("start_id", "msg_id").agg(F.min("depth").alias("depth"))
+
+
 def lineage_report(findings: DataFrame, starts: DataFrame, max_depth: int = PIPELINE_DEPTH) -> DataFrame:
     """Closure with the stored columns; ``depth`` gives the distance to the start."""
     return lineage(findings, starts, max_depth).join(findings, "msg_id")

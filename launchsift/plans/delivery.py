@@ -81,6 +81,20 @@ def reach(t):
     return delivery.reach_of_briefs(tiered(t), t.subscribers())
 
 
+@add(
+    "q61_deliveries_by_tier",
+    with_views(
+        "v_brief", "v_sub", tiered=TIERED,
+        ranked=f"select {RANK.format('conviction_tier')} tier from tiered",
+        chats=f"select lower(threshold) threshold, {RANK.format('threshold')} lowest from v_sub where active",
+        body="""select tier, threshold, count(*) deliveries from ranked join chats on tier >= lowest
+                group by tier, threshold""",
+    ),
+)
+def by_tier(t):
+    return delivery.deliveries_by_tier(tiered(t), t.subscribers())
+
+
 @add(
     "q61_match_by_chat",
     with_views(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that can be changed on a running session.  Sizes follow the cluster: the
@@ -22,6 +26,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _own_folder() -> str:
+    """A temporary folder that goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="launchsift-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def local_session(cores: int | str = 8, name: str = "launchsift") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     spark = (
@@ -33,6 +44,7 @@ def local_session(cores: int | str = 8, name: str = "launchsift") -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.checkpoint.dir", _own_folder())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

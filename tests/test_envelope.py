@@ -132,7 +132,7 @@ def test_receipts_last_wins(table, rows):
     assert rows(envelope.attach_receipts(found, receipts, ["seq"])) == [("a", "0x2", 4), ("b", None, None)]
 
 
-def test_prompt_hash_both_ways(table, rows):
+def test_prompt_hash(table, rows):
     turns = [(1, 1, "user", "hello é"), (1, 0, "system", "be brief"), (1, 2, "assistant", "ok"), (2, 0, "user", "x")]
     df = table(turns, "conv_id int, turn int, role string, text string")
 
@@ -144,8 +144,15 @@ def test_prompt_hash_both_ways(table, rows):
 
     want = [(1, expected(1)), (2, expected(2))]
     assert rows(envelope.prompt_hash(df)) == want
-    assert rows(envelope.prompt_hash(df, long_prompt_bytes=10)) == want
-    assert rows(envelope.prompt_hash(df, long_prompt_bytes=0)) == want
+    gaps = table([*turns, (2, 1, None, "y"), (2, 2, "user", None), (None, 0, "user", "x")], df.schema)
+    assert rows(envelope.prompt_hash(gaps)) == sorted([*want, (None, want[1][1])], key=repr)
+
+
+def test_bad_payloads_hash_to_null(table):
+    deep = "[" * 100_000 + "]" * 100_000
+    df = table([("a", '{"x": "\\ud800"}'), ("b", '{"x": ' + deep + "}"), ("c", '{"b": 1, "a": 2}'), ("d", "NaN"), ("e", None)], "k string, payload string")
+    got = {r.k: r.local_hash for r in envelope.hash_stored(df).collect()}
+    assert got == {"a": None, "b": None, "c": hashlib.sha256(b'{"a":2,"b":1}').hexdigest(), "d": None, "e": None}
 
 
 def test_lines_round_trip_and_bad_lines(spark, tmp_path, rows):
