@@ -31,22 +31,25 @@ def _errors(checks: list[tuple[str, Column]]) -> Column:
 
 
 def validate_envelopes(envelopes: DataFrame) -> DataFrame:
-    """Adds ``errors``; ids are compared upper-cased, as they are stored."""
-    created = F.col("created_at")
-    model = F.col("model_used")
+    """Adds ``errors``; texts are compared stripped and ids upper-cased, as they are stored.
+
+    ``extra_keys``, which decoding adds, is checked and dropped.
+    """
+    created = strip(F.col("created_at"))
+    model = strip(F.col("model_used"))
     zoned = (
         created.endswith("Z")
         | F.contains(created, F.lit("+"))
         | F.contains(F.substring(created, 11, 2**31 - 1), F.lit("-"))
     )
     checks = [
-        ("msg_id", F.upper("msg_id").rlike(CROCKFORD_ID)),
+        ("msg_id", F.upper(strip(F.col("msg_id"))).rlike(CROCKFORD_ID)),
         ("agent", F.col("agent").isin(*AGENTS)),
         (
             "upstream_ids",
-            F.forall("upstream_ids", lambda u: F.upper(u).rlike(CROCKFORD_ID)),
+            F.forall("upstream_ids", lambda u: F.upper(strip(u)).rlike(CROCKFORD_ID)),
         ),
-        ("payload_hash", F.col("payload_hash").rlike(HEX64)),
+        ("payload_hash", strip(F.col("payload_hash")).rlike(HEX64)),
         ("payload", strip(F.col("payload")).startswith("{")),
         ("created_at", F.contains(created, F.lit("T")) & zoned),
         (
@@ -55,12 +58,32 @@ def validate_envelopes(envelopes: DataFrame) -> DataFrame:
             | (F.contains(model, F.lit("/")) & ~model.startswith("/") & ~model.endswith("/")),
         ),
     ]
-    return envelopes.withColumn("errors", _errors(checks))
+    if "extra_keys" in envelopes.columns:
+        checks.append(("unknown_keys", F.size("extra_keys") == 0))
+    return envelopes.withColumn("errors", _errors(checks)).drop("extra_keys")
+
+
+def _has_type(raw: Column, value: Column, dtype: T.DataType) -> Column:
+    """Whether a JSON value may stand for ``dtype``: its own type, or a text that spells it."""
+    kind = F.schema_of_variant(raw)
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    spelled = (kind == "STRING") & value.isNotNull()
+    if isinstance(dtype, T.StringType):
+        return kind == "STRING"
+    if isinstance(dtype, T.BooleanType):
+        return (kind == "BOOLEAN") | spelled
+    if isinstance(dtype, T.ArrayType):
+        texts = kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
+        return texts & F.coalesce(F.forall(value, lambda x: x.isNotNull()), F.lit(False))
+    if isinstance(dtype, T.DoubleType):
+        return number | spelled
+    whole = F.try_variant_get(raw, "$", "double")
+    return (number & (whole == F.floor(whole))) | spelled
 
 
 @dataclass(frozen=True)
 class Field:
-    """Rules of one payload field; ``optional`` fields may be absent or null."""
+    """Rules of one payload field; ``optional`` ones may be absent, ``nullable`` ones null."""
 
     name: str
     pattern: str | None = None
@@ -69,11 +92,13 @@ class Field:
     high: float | None = None
     among: tuple[str, ...] | None = None
     optional: bool = False
+    nullable: bool = False
 
-    def ok(self, value: Column, dtype: T.DataType) -> Column:
+    def ok(self, raw: Column, value: Column, dtype: T.DataType) -> Column:
+        """``raw`` is the field's JSON value (null if absent), ``value`` what it reads as."""
         if isinstance(dtype, T.StringType):
             value = strip(value)
-        good = value.isNotNull()
+        good = value.isNotNull() & _has_type(raw, value, dtype)
         if self.pattern is not None:
             good = good & value.rlike(self.pattern)
         if self.length is not None:
@@ -86,7 +111,11 @@ class Field:
             good = good & (value <= self.high)
         if self.among is not None:
             good = good & value.isin(*self.among)
-        return value.isNull() | good if self.optional else good
+        return (
+            F.when(raw.isNull(), F.lit(self.optional))
+            .when(F.is_variant_null(raw), F.lit(self.nullable))
+            .otherwise(good)
+        )
 
 
 @dataclass(frozen=True)
@@ -144,11 +173,11 @@ PAYLOADS: dict[str, PayloadRules] = {
         schemas.VERDICT,
         (
             _ADDRESS,
-            Field("score_0_100", low=0, high=100, optional=True),
+            Field("score_0_100", low=0, high=100, optional=True, nullable=True),
             Field("red_flags", optional=True),
             Field("rationale", length=(0, 4000)),
             Field("missing_inputs", optional=True),
-            Field("confidence", among=CONFIDENCES, optional=True),
+            Field("confidence", among=CONFIDENCES, optional=True, nullable=True),
             Field("requires_human_review", optional=True),
         ),
     ),
@@ -186,20 +215,53 @@ def validate_payload(
     With ``keep`` the decoded payload stays in a column of that name.
     """
     rules = PAYLOADS[kind]
-    # A value of the wrong type reads as null while its key is present.
-    value = F.from_json(F.col(payload), rules.schema, {"mode": "PERMISSIVE"})
-    keys = F.coalesce(F.json_object_keys(F.col(payload)), F.array().cast("array<string>"))
+    # Parsed once: absent keys, nulls and wrong types all stay apart.
+    entries = F.try_variant_get(F.try_parse_json(F.col(payload)), "$", "map<string,variant>")
     known = F.array(*[F.lit(f.name) for f in rules.fields])
-    v = F.col("_json.v")
-    checks = [(f.name, f.ok(v[f.name], rules.schema[f.name].dataType)) for f in rules.fields]
-    checks.append(("unknown_keys", F.size(F.array_except(F.col("_json.k"), known)) == 0))
-    parsed = computed_once(rows, "_json", F.struct(value.alias("v"), keys.alias("k")))
+    parsed = computed_once(rows, "_json", entries)
+    held = {f.name: F.try_element_at(F.col("_json"), F.lit(f.name)) for f in rules.fields}
+    types = {f.name: rules.schema[f.name].dataType for f in rules.fields}
+    values = {n: F.try_variant_get(raw, "$", types[n].simpleString()) for n, raw in held.items()}
+    checks = [(f.name, f.ok(held[f.name], values[f.name], types[f.name])) for f in rules.fields]
+    extra = F.array_except(F.coalesce(F.map_keys("_json"), F.array().cast("array<string>")), known)
+    checks.append(("unknown_keys", F.size(extra) == 0))
     checked = parsed.withColumn("errors", _errors(checks))
     if keep is not None:
-        checked = checked.withColumn(keep, v)
+        checked = checked.withColumn(keep, F.struct(*[v.alias(n) for n, v in values.items()]))
     return checked.drop("_json")
 
 
+#: The payload kinds that each agent may send.
+KINDS = {
+    "hunter": ("candidate",), "social": ("social",), "chain": ("chain",), "risk": ("verdict",),
+    "narrator": ("brief", "review"),
+}
+
+
+def validate_messages(envelopes: DataFrame) -> DataFrame:
+    """``validate_envelopes`` and, for valid envelopes, the errors of the agent's payload kind.
+
+    Of several kinds the payload needs to fit one; the errors of the first are told otherwise.
+    """
+    checked = validate_envelopes(envelopes).withColumnRenamed("errors", "_envelope")
+    wrong = F.lit(None).cast("array<string>")
+    for agent, kinds in KINDS.items():
+        found = []
+        for kind in kinds:
+            mine = F.when((F.col("agent") == agent) & (F.size("_envelope") == 0), F.col("payload"))
+            checked = validate_payload(checked.withColumn("_mine", mine), kind, "_mine").withColumnRenamed("errors", f"_{kind}").drop("_mine")
+            found.append(F.col(f"_{kind}"))
+        told = found[0]
+        for other in found[1:]:
+            told = F.when(F.size(other) == 0, other).otherwise(told)
+        wrong = F.when(F.col("agent") == agent, told).otherwise(wrong)
+    all_kinds = [f"_{kind}" for kinds in KINDS.values() for kind in kinds]
+    errors = F.when(F.size("_envelope") > 0, F.col("_envelope")).otherwise(
+        F.coalesce(F.transform(wrong, lambda e: F.concat(F.lit("payload."), e)), F.array().cast("array<string>"))
+    )
+    return checked.withColumn("errors", errors).drop("_envelope", *all_kinds)
+
+
 def split_quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without ``errors``, rejected rows with ``errors``)."""
     bad = F.size("errors") > 0

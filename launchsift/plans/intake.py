@@ -273,9 +273,14 @@ def quarantine(t):
     )
 
 
-def _payloads(kind, rows, id_col, **columns):
-    """JSON payloads with the given columns, checked as ``kind``."""
+def _payloads(kind, rows, id_col, spoil=(), **columns):
+    """JSON payloads with the given columns, checked as ``kind``.
+
+    ``spoil`` lists (condition, pattern, replacement) by which some texts get wrong types.
+    """
     body = F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    for condition, pattern, new in spoil:
+        body = F.when(condition, F.regexp_replace(body, pattern, new)).otherwise(body)
     checked = validate.validate_payload(rows.select(id_col, body.alias("payload")), kind)
     return checked.select(F.col(id_col).alias("row_id"), joined(F.col("errors")).alias("errors"))
 
@@ -318,7 +323,9 @@ def check_candidate(t):
         "events", "event_id",
         ("token_address", "event_type = 'view' and user_id % 2 = 0"),
         ("organic_score", "floor(value) > 100"),
+        ("mentions_24h", "user_id % 13 = 3"),
         ("sentiment", "value / 100 - 1 > 1"),
+        ("red_flags", "user_id % 13 in (1, 2)"),
         ("data_quality", "event_type = 'error'"),
     ),
 )
@@ -326,6 +333,11 @@ def check_social(t):
     kind = F.col("event_type")
     return _payloads(
         "social", t.events, "event_id",
+        spoil=[
+            (F.col("user_id") % 13 == 1, r'"red_flags":\[[^\]]*\]', '"red_flags":"oops"'),
+            (F.col("user_id") % 13 == 2, r'"red_flags":\[[^\]]*\]', '"red_flags":null'),
+            (F.col("user_id") % 13 == 3, r'"mentions_24h":(\d+)', '"mentions_24h":$1.5'),
+        ],
         token_address=F.when((kind == "view") & (F.col("user_id") % 2 == 0), F.lit("0x12")).otherwise(
             address(F.col("user_id"))
         ),
@@ -371,15 +383,21 @@ def check_chain(t):
     "q08_validate_verdict",
     _expected(
         "orders", "o_orderkey",
-        ("score_0_100", "cast(floor(o_totalprice) as bigint) % 120 > 100"),
-        ("rationale", "length(o_orderpriority) * (1 + o_orderkey % 600) > 4000"),
+        ("score_0_100", "cast(floor(o_totalprice) as bigint) % 120 > 100 and o_orderkey % 17 <> 3"),
+        ("rationale", "length(o_orderpriority) * (1 + o_orderkey % 600) > 4000 or o_orderkey % 17 = 2"),
         ("confidence", "o_orderstatus = 'P'"),
+        ("requires_human_review", "o_orderkey % 17 = 1"),
     ),
 )
 def check_verdict(t):
     status = F.col("o_orderstatus")
     return _payloads(
         "verdict", t.orders, "o_orderkey",
+        spoil=[
+            (F.col("o_orderkey") % 17 == 1, '"requires_human_review":false', '"requires_human_review":"maybe"'),
+            (F.col("o_orderkey") % 17 == 2, '"rationale":"[^"]*"', '"rationale":7'),
+            (F.col("o_orderkey") % 17 == 3, r'"score_0_100":\d+', '"score_0_100":null'),
+        ],
         token_address=address(F.col("o_orderkey")),
         score_0_100=F.when(status != "O", F.floor("o_totalprice") % 120)
         .otherwise(F.floor("o_totalprice") % 120),

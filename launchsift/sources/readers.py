@@ -58,10 +58,28 @@ def read_logs_since(
 
 
 def decode_envelopes(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Envelope columns of JSON lines; ``raw`` keeps the text and bad lines give nulls."""
-    return lines.select(
-        F.col(line).alias("raw"), F.from_json(line, ENVELOPE, {"mode": "PERMISSIVE"}).alias("e")
-    ).select("raw", "e.*")
+    """Envelope columns of JSON lines; ``raw`` keeps the text and bad lines give nulls.
+
+    Absent ``upstream_ids`` are an empty list, a payload that is no JSON object is null, and
+    ``extra_keys`` lists keys that an envelope does not have.
+    """
+    entries = F.try_variant_get(F.try_parse_json(line), "$", "map<string,variant>")
+    read = lines.select(
+        F.col(line).alias("raw"),
+        F.from_json(line, ENVELOPE, {"mode": "PERMISSIVE"}).alias("e"),
+        entries.alias("m"),
+    )
+    payload = F.try_element_at("m", F.lit("payload"))
+    parents = F.try_element_at("m", F.lit("upstream_ids"))
+    none, known = F.array().cast("array<string>"), F.array(*[F.lit(f.name) for f in ENVELOPE.fields])
+    decoded = {f.name: F.col(f"e.{f.name}") for f in ENVELOPE.fields}
+    decoded["payload"] = F.when(F.schema_of_variant(payload).startswith("OBJECT"), F.col("e.payload"))
+    decoded["upstream_ids"] = F.when(F.col("m").isNotNull() & parents.isNull(), none).otherwise(F.col("e.upstream_ids"))
+    return read.select(
+        "raw",
+        *[c.alias(n) for n, c in decoded.items()],
+        F.coalesce(F.array_except(F.map_keys("m"), known), none).alias("extra_keys"),
+    )
 
 
 def read_envelopes(

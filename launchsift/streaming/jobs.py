@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from launchsift.functions.text import strip
 from launchsift.operators.delivery import match_threshold, undelivered
-from launchsift.operators.validate import split_quarantine, validate_envelopes
+from launchsift.operators.validate import split_quarantine, validate_messages
 from launchsift.sources.sinks import store_findings
 
 BLOCK = "5 seconds"
@@ -92,20 +93,23 @@ def dedup_launches(candidates: DataFrame, ts: str = "launch_ts", window_s: int =
 def store_valid(
     envelopes: DataFrame, table: str, dead_letters: str, checkpoint: str, continuous: bool = False
 ) -> StreamingQuery:
-    """Valid envelopes into the findings table, the others into the dead-letter folder.
+    """Envelopes with valid payloads into the findings table, the others to the dead letters.
 
     Each batch writes its dead letters into its own folder, overwriting what an earlier
     attempt of the same batch left there.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_envelopes(batch).persist()
+        checked = validate_messages(batch).persist()
         try:
             good, bad = split_quarantine(checked)
             good = good.drop("raw").withColumns(
                 {
-                    "msg_id": F.upper("msg_id"),
-                    "upstream_ids": F.transform("upstream_ids", F.upper),
+                    "msg_id": F.upper(strip(F.col("msg_id"))),
+                    "upstream_ids": F.transform("upstream_ids", lambda u: F.upper(strip(u))),
+                    "payload_hash": strip(F.col("payload_hash")),
+                    "created_at": strip(F.col("created_at")),
+                    "model_used": strip(F.col("model_used")),
                 }
             )
             store_findings(good, table)

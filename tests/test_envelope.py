@@ -108,6 +108,53 @@ def test_payload_rules(table, rows):
     ]
 
 
+SOCIAL = {"token_address": "0x" + "1" * 40, "organic_score": 50, "mentions_24h": 1, "sentiment": 0.2}
+VERDICT = {"token_address": "0x" + "1" * 40, "rationale": "because"}
+
+
+@pytest.mark.parametrize(
+    "kind, base, change, wrong",
+    [
+        ("social", SOCIAL, {"red_flags": "oops"}, ["red_flags"]),
+        ("social", SOCIAL, {"red_flags": None, "data_quality": None}, ["red_flags", "data_quality"]),
+        ("social", SOCIAL, {"red_flags": [1]}, ["red_flags"]),
+        ("social", SOCIAL, {"red_flags": [], "influencer_mentions": ["a"]}, []),
+        ("social", SOCIAL, {"red_flags": [None]}, ["red_flags"]),
+        ("social", SOCIAL, {"organic_score": 50.5}, ["organic_score"]),
+        ("social", SOCIAL, {"organic_score": 50.0, "mentions_24h": "7"}, []),
+        ("social", SOCIAL, {"sentiment": "x"}, ["sentiment"]),
+        ("social", SOCIAL, {"token_address": 5}, ["token_address"]),
+        ("verdict", VERDICT, {"score_0_100": "abc", "requires_human_review": "maybe"}, ["score_0_100", "requires_human_review"]),
+        ("verdict", VERDICT, {"rationale": 7}, ["rationale"]),
+        ("verdict", VERDICT, {"score_0_100": None, "confidence": None}, []),
+        ("verdict", VERDICT, {"missing_inputs": None}, ["missing_inputs"]),
+        ("verdict", VERDICT, {"requires_human_review": True, "confidence": "low", "score_0_100": 100}, []),
+    ],
+)
+def test_types_nulls_and_absence(table, kind, base, change, wrong):
+    df = table([(json.dumps({**base, **change}),)], "payload string")
+    assert validate.validate_payload(df, kind).first().errors == wrong
+
+
+def test_decoded_envelopes(table, rows):
+    base = {"msg_id": f" {ID.lower()} ", "agent": "risk", "payload_hash": "a" * 64, "payload": VERDICT, "created_at": "2026-01-01T00:00:00Z"}
+    lines = [
+        base,
+        {**base, "upstream_ids": None},
+        {**base, "note": 1},
+        {**base, "payload": json.dumps(VERDICT)},
+        {**base, "payload": {**VERDICT, "score_0_100": 101}},
+        {**base, "agent": "narrator", "payload": {"token_address": "0x" + "1" * 40, "reason": "r", "risk_verdict_msg_id": ID, "raised_at": "now"}},
+        {**base, "agent": "narrator"},
+    ]
+    df = table([(i, json.dumps(x)) for i, x in enumerate(lines)], "n int, value string")
+    decoded = readers.decode_envelopes(df)
+    checked = {json.dumps(json.loads(r.raw)): r.errors for r in validate.validate_messages(decoded).collect()}
+    got = [checked[json.dumps(x)] for x in lines]
+    assert got[:6] == [[], ["upstream_ids"], ["unknown_keys"], ["payload"], ["payload.score_0_100"], []]
+    assert "payload.thesis" in got[6]
+
+
 def test_short_thesis_is_quarantined(table):
     brief = {
         "token_name": "A", "token_address": "0x" + "1" * 40, "thesis": "No thesis available.",
