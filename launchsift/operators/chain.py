@@ -16,7 +16,7 @@ from launchsift.functions.constants import (
     ZERO_ADDRESS,
 )
 from launchsift.functions.text import blank_to_null, round_even, strip
-from launchsift.operators.skew import top_k_per_group
+from launchsift.operators.skew import split_count, top_k_per_group
 
 TOKEN = "token_address"
 
@@ -157,6 +157,23 @@ def creator_history(
     )
 
 
+def with_creator_history(meta: DataFrame, history: DataFrame, spread: str = TOKEN) -> DataFrame:
+    """``meta`` with the creator's earlier tokens.
+
+    Every token without a known creator has the zero address, so that key is cut into parts.
+    """
+    parts = split_count(meta)
+    zero = F.col("creator_address") == ZERO_ADDRESS
+    left = meta.withColumn(
+        "_part", F.when(zero, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    )
+    right = history.withColumn(
+        "_part",
+        F.explode(F.when(zero, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))),
+    )
+    return left.join(right, ["creator_address", "_part"], "left").drop("_part")
+
+
 def assemble_chain(
     candidates: DataFrame,
     holders: DataFrame,

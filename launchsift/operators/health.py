@@ -37,7 +37,7 @@ def overall_status(heartbeats: DataFrame) -> DataFrame:
     )
 
 
-def events_per_beat(events: DataFrame, beats: DataFrame, bucket_s: float = DAY_S) -> DataFrame:
+def events_per_beat(events: DataFrame, beats: DataFrame, bucket_s: float = 3600) -> DataFrame:
     """Processed events of each agent since the heartbeat before.
 
     ``events`` has (agent, ts), ``beats`` (agent, ts).  An event at the very time of a

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from launchsift.operators.ordered import OrderedKeys
+from launchsift.operators.skew import split_count
 
 ZERO32 = bytes(32)
 POSITION = ["block", "idx"]
@@ -78,11 +79,15 @@ def merge_ledger(attempts: DataFrame, blocks_per_bucket: int = BLOCKS_PER_BUCKET
     writes in order is spread like any other work.
     """
     good = _refusal().isNull()
+    # Refused attempts, such as all those with the zero id, count for nothing in the order and
+    # are spread at will.
+    spread = F.pmod(F.xxhash64(*POSITION), F.lit(split_count(attempts))).cast("int")
+    parted = attempts.withColumn("_part", F.when(good, F.lit(-1)).otherwise(spread))
     scan = OrderedKeys(
-        attempts, ["msg_id"], POSITION, bucket=_block_range(blocks_per_bucket)
+        parted, ["msg_id", "_part"], POSITION, bucket=_block_range(blocks_per_bucket)
     ).running("_valid_no", F.when(good, F.lit(1)))
     write = F.when(F.col("_valid_no") == 1, F.lit("Recorded")).otherwise(F.lit("AlreadyRecorded"))
-    return scan.rows().withColumn("outcome", F.coalesce(_refusal(), write)).drop("_valid_no")
+    return scan.rows().withColumn("outcome", F.coalesce(_refusal(), write)).drop("_valid_no", "_part")
 
 
 def lookup_ledger(findings: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +60,13 @@ def skew_join(
         raise ValueError(f"unsupported join type {how!r}")
     parts = split_count(fact)
     hot = F.broadcast(hot_keys(fact, keys))
+    # A null key matches nothing, so its rows may lie anywhere.
+    free = F.col("_hot") | reduce(or_, [F.col(k).isNull() for k in keys])
     left = (
         fact.join(hot, keys, "left")
         .withColumn(
             SALT,
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
+            F.when(free, F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
             .otherwise(F.lit(0)),
         )
         .drop("_hot")

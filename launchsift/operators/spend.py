@@ -15,7 +15,7 @@ from launchsift.functions.constants import (
     PRICES,
 )
 from launchsift.functions.text import micros
-from launchsift.operators.ordered import BUCKET, DAY_S, OrderedKeys, bucket_of, trailing
+from launchsift.operators.ordered import BUCKET, OrderedKeys, bucket_of, trailing
 
 MONEY = "decimal(10,6)"
 
@@ -76,13 +76,16 @@ def hourly_usage(calls: DataFrame) -> DataFrame:
 
 
 def error_rate(
-    calls: DataFrame, back_s: int = 300, keys: Sequence[str] = ("agent",), bucket_s: float = DAY_S
+    calls: DataFrame, back_s: int = 300, keys: Sequence[str] = ("agent",), bucket_s: float | None = None
 ) -> DataFrame:
-    """Adds the failed share of each agent's calls in the ``back_s`` seconds up to each call."""
+    """Adds the failed share of each agent's calls in the ``back_s`` seconds up to each call.
+
+    An agent is cut into cells of twelve look-backs unless ``bucket_s`` is given.
+    """
     counted = trailing(
         calls, keys, "created_at", back_s,
         {"recent_calls": F.count(F.lit(1)), "recent_failures": F.count_if(~F.col("success"))},
-        bucket_s,
+        12 * back_s if bucket_s is None else bucket_s,
     )
     return counted.withColumn("error_rate", F.col("recent_failures") / F.col("recent_calls"))
 
@@ -138,7 +141,7 @@ def circuit_intervals(
     calls: DataFrame,
     threshold: int = CIRCUIT_FAILURES,
     cooldown_s: float = CIRCUIT_COOLDOWN_S,
-    bucket_s: float = DAY_S,
+    bucket_s: float = 3600,
 ) -> DataFrame:
     """(provider, opened_at, closed_at) in epoch microseconds.
 

@@ -225,8 +225,8 @@ def history(t):
 
 
 def chain_metrics(t):
-    known = chain.contract_meta(t.contracts()).join(
-        chain.creator_history(t.creator_transactions(), page=700), "creator_address", "left"
+    known = chain.with_creator_history(
+        chain.contract_meta(t.contracts()), chain.creator_history(t.creator_transactions(), page=700)
     )
     failures = t.candidates().filter(F.col("p_size") <= 3).select(
         "token_address",

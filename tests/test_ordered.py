@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from launchsift.operators import anchored, health, ledger, risk, skew, spend
+from launchsift.operators import anchored, chain, health, ledger, risk, skew, spend
 from launchsift.operators.ordered import OrderedKeys, newest_per_key, trailing
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -156,6 +156,26 @@ def test_top_k_and_skew_join(table):
         assert sorted(map(tuple, salted.select(*df.join(dim, "key", how).columns).collect()), key=repr) == plain
 
 
+def test_skew_join_spreads_null_keys(table):
+    df = table([(i, None if i % 2 else "a") for i in range(400)], "id int, key string").repartition(5)
+    dim = table([("a", 1), (None, 2)], "key string, x int")
+    for how, n in (("left", 400), ("left_anti", 200), ("inner", 200), ("left_semi", 200)):
+        out = skew.skew_join(df, dim, ["key"], ["id"], how)
+        assert out.count() == n
+        if how == "left":
+            assert all((r.x is None) == (r.key is None) for r in out.collect())
+
+
+def test_zero_creator_is_split(table, rows):
+    zero = "0x" + "0" * 40
+    meta = table([(f"t{i}", zero if i % 2 else f"c{i}") for i in range(100)], "token_address string, creator_address string")
+    history = table([(zero, 7), ("c2", 3)], "creator_address string, creator_previous_tokens int")
+    got = chain.with_creator_history(meta, history)
+    assert rows(got, "token_address", "creator_previous_tokens") == rows(
+        meta.join(history, "creator_address", "left"), "token_address", "creator_previous_tokens"
+    )
+
+
 # -- circuit --------------------------------------------------------------------------
 @pytest.mark.parametrize("bucket_s", [40, 10**6])
 def test_circuit(table, bucket_s):
