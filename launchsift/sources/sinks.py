@@ -36,6 +36,23 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(StructType([*FINDING.fields, StructField("day", DateType())])).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+SENT = "msg_id string, chat_id int, sent_at timestamp, batch bigint"
+
+
+def read_sent(spark: SparkSession, outbox: str, before: int | None = None) -> DataFrame:
+    """(chat_id, msg_id, sent_at) of the deliveries in an outbox, of batches below ``before``."""
+    if not exists(spark, outbox):
+        return spark.createDataFrame([], SENT).drop("batch")
+    sent = spark.read.schema(SENT).parquet(outbox)
+    return (sent if before is None else sent.filter(F.col("batch") < before)).drop("batch")
+
+
 def store_findings(envelopes: DataFrame, path: str) -> None:
     """Inserts envelopes whose id is not stored yet; repeats are no-ops.
 
@@ -44,17 +61,19 @@ def store_findings(envelopes: DataFrame, path: str) -> None:
     """
     spark = envelopes.sparkSession
     new = envelopes.withColumn("created_at", F.to_timestamp("created_at"))
-    try:
-        stored = read_findings(spark, path)
-        new = append_findings(new, stored, ["created_at", "payload_hash"])
-    except Exception as err:  # the first write finds no table
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        new = append_findings(new, new.limit(0), ["created_at", "payload_hash"])
+    if exists(spark, path):
+        # An id follows from its agent among others, so only the batch's agents are read.
+        agents = [r[0] for r in new.select("agent").distinct().collect()]  # a fixed set of names
+        stored = read_findings(spark, path).filter(F.col("agent").isin(agents))
+    else:
+        stored = new.limit(0)
     (
-        new.withColumn("on_chain_tx", F.lit(None).cast("string"))
+        append_findings(new, stored, ["created_at", "payload_hash"])
+        .withColumn("on_chain_tx", F.lit(None).cast("string"))
         .withColumn("on_chain_block", F.lit(None).cast("bigint"))
         .withColumn("day", F.to_date("created_at"))
+        # One task per agent, day and slice of the ids, so a batch leaves few files.
+        .repartition("agent", "day", F.pmod(F.xxhash64("msg_id"), F.lit(8)))
         .write.mode("append").partitionBy("agent", "day").parquet(path)
     )
 

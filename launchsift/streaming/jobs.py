@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from launchsift.functions.text import strip
 from launchsift.operators.delivery import match_threshold, undelivered
 from launchsift.operators.validate import split_quarantine, validate_messages
-from launchsift.sources.sinks import store_findings
+from launchsift.sources.sinks import read_sent, store_findings
 
 BLOCK = "5 seconds"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -123,19 +123,23 @@ def store_valid(
 def deliver(
     briefs: DataFrame,
     subscriptions: Callable[[], DataFrame],
-    sent_log: Callable[[], DataFrame],
     outbox: str,
     checkpoint: str,
     continuous: bool = False,
+    now: Callable[[int], Column] | None = None,
 ) -> StreamingQuery:
     """Writes the deliveries that each batch of new briefs calls for.
 
-    ``subscriptions`` and ``sent_log`` are read again for every batch.
+    The outbox is also the log of what was sent: each batch leaves out what earlier batches
+    delivered, as far as a chat's memory reaches, and a repeated batch overwrites its own
+    deliveries without heeding them.  ``subscriptions`` is read again for every batch;
+    ``now`` gives a batch's time of sending (the clock unless given).
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        wanted = match_threshold(batch, subscriptions())
-        due = undelivered(wanted, sent_log(), F.current_timestamp())
-        due.write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
+        at = F.current_timestamp() if now is None else now(batch_id)
+        sent = read_sent(batch.sparkSession, outbox, batch_id)
+        due = undelivered(match_threshold(batch, subscriptions()), sent, at)
+        due.withColumn("sent_at", at).write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
 
     return run(briefs, each, checkpoint, continuous)

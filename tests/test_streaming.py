@@ -149,11 +149,29 @@ def test_stream_storing_with_dead_letters_and_replay(spark, tmp_path):
 
 def test_deliveries_are_not_repeated(spark, tmp_path):
     kind = "msg_id string, conviction_tier string"
-    spark.createDataFrame([("m1", "high"), ("m2", "degen")], kind).write.parquet(str(tmp_path / "in"))
     subs = lambda: spark.createDataFrame([(1, "moderate", True), (2, "degen", True)], "chat_id int, threshold string, active boolean")
-    now = datetime.now(tz=timezone.utc)
-    sent = lambda: spark.createDataFrame([(2, "m1", now)], "chat_id int, msg_id string, sent_at timestamp")
-    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-    jobs.deliver(stream, subs, sent, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select("msg_id", "chat_id").collect()
-    assert sorted(map(tuple, got)) == [("m1", 1), ("m2", 2)]
+    out = str(tmp_path / "out")
+    hour = lambda n: F.lit(at(3600 * n)).cast("timestamp")
+
+    def go(rows, checkpoint="cp"):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        jobs.deliver(stream, subs, out, str(tmp_path / checkpoint), now=hour).awaitTermination()
+
+    go([("m1", "high"), ("m2", "degen")])
+    go([("m1", "high"), ("m3", "moderate")])  # m1 comes again and is not sent again
+    got = sinks.read_sent(spark, out)
+    assert sorted((r.msg_id, r.chat_id) for r in got.collect()) == [
+        ("m1", 1), ("m1", 2), ("m2", 2), ("m3", 1), ("m3", 2)
+    ]
+    assert sinks.read_sent(spark, out, before=1).count() == 3
+
+
+def test_store_reads_the_agents_of_the_batch(spark, tmp_path):
+    table = str(tmp_path / "t")
+    sealed = envelopes(spark, range(20))
+    sinks.store_findings(sealed.withColumn("agent", F.lit("chain")), table)
+    sinks.store_findings(sealed, table)
+    sinks.store_findings(sealed, table)
+    counts = {r.agent: r["count"] for r in sinks.read_findings(spark, table).groupBy("agent").count().collect()}
+    assert counts == {"chain": 20, "hunter": 20}
