@@ -48,12 +48,14 @@ def match_symbols(messages: DataFrame, symbols: DataFrame, symbol: str = "symbol
     wanted = symbols.select(F.lower(symbol).alias("_symbol")).filter(
         F.col("_symbol") != ""
     ).distinct().withColumn("_gram", F.substring("_symbol", 1, GRAM))
-    grams = messages.select(
-        "channel", "pos", F.explode(_grams(F.lower("text"))).alias("_gram")
-    )
-    candidates = grams.join(wanted, "_gram").select("channel", "pos", "_symbol")
+    keyed = messages.withColumn("_text", F.xxhash64("text"))
+    message = ["channel", "pos", "_text"]
+    grams = keyed.select(*message, F.explode(_grams(F.lower("text"))).alias("_gram"))
+    # One row per message, so messages under a repeated position do not multiply.
+    candidates = grams.join(wanted, "_gram").groupBy(*message).agg(F.collect_set("_symbol").alias("_symbols"))
     return (
-        candidates.join(messages, ["channel", "pos"])
+        candidates.join(keyed, message)
+        .select("channel", "pos", "text", F.explode("_symbols").alias("_symbol"))
         .filter(F.contains(F.lower("text"), F.col("_symbol")))
         .select(F.col("_symbol").alias(symbol), "channel", "pos", "text")
     )

@@ -21,6 +21,14 @@ def test_mentions_against_brute_force(table, rows):
     assert rows(got) == want
 
 
+def test_repeated_positions_count_once_per_message(table, rows):
+    messages = [(1, 5, "doge moon"), (1, 5, "other doge"), (1, 5, "doge moon"), (2, 1, "dog")]
+    got = social.count_mentions(
+        table(messages, "channel int, pos int, text string"), table([("t", "DOGE"), ("u", "dog")], "token_address string, symbol string")
+    )
+    assert rows(got) == [("t", 3), ("u", 4)]
+
+
 def test_snippets_follow_channel_then_page(table):
     messages = [(c, p, f"  pump {c}-{p} " + "x" * 400) for c in (1, 2) for p in range(4)]
     got = social.sample_snippets(
