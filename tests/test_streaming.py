@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from launchsift.functions import schemas
 from launchsift.operators import envelope, risk
 from launchsift.sources import readers, sinks
-from launchsift.streaming import jobs, pairing
+from launchsift.streaming import decide, jobs, pairing
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 SIGNALS = "msg_id string, token_address string, side string, ts timestamp"
@@ -175,3 +175,51 @@ def test_store_reads_the_agents_of_the_batch(spark, tmp_path):
     sinks.store_findings(sealed, table)
     counts = {r.agent: r["count"] for r in sinks.read_findings(spark, table).groupBy("agent").count().collect()}
     assert counts == {"chain": 20, "hunter": 20}
+
+
+def test_pairs_become_verdicts_briefs_and_reviews(spark, tmp_path):
+    table, now = str(tmp_path / "t"), "2026-01-01T00:00:00Z"
+    tokens = ["0x" + f"{n:040d}" for n in range(3)]
+    launch = [(a, now, "0x" + "2" * 40, f"T{n}", "S", 1.5, "https://x") for n, a in enumerate(tokens)]
+    hunted = envelope.build_envelopes(spark.createDataFrame(launch, schemas.CANDIDATE), "hunter", schemas.CANDIDATE, now)
+    sinks.store_findings(hunted, table)
+    parent = {json.loads(r.payload)["token_address"]: r.msg_id for r in hunted.collect()}
+    social = [(a, 50, 3, 0.1, [], [], "ok") for a in tokens]
+    chained = [(a, 500, 10.0, 5e4, 1.0, 0, n != 1, True, True, 0, "ok") for n, a in enumerate(tokens)]
+    ids = {}
+    for side, data, schema in (("social", social, schemas.SOCIAL), ("chain", chained, schemas.CHAIN)):
+        rows = spark.createDataFrame(data, schema)
+        up = F.array(F.element_at(F.create_map(*[F.lit(x) for p in parent.items() for x in p]), F.col("token_address")))
+        sealed = envelope.build_envelopes(rows, side, schema, now, up, F.lit("lab/s") if side == "social" else None)
+        sinks.store_findings(sealed, table)
+        ids |= {(side, json.loads(r.payload)["token_address"]): r.msg_id for r in sealed.collect()}
+    pairs = [(a, ids["social", a], ids["chain", a], None) for a in tokens[:2]] + [(tokens[2], ids["social", tokens[2]], None, "chain")]
+    spark.createDataFrame(pairs, pairing.PAIRS).coalesce(1).write.parquet(str(tmp_path / "pairs"))
+
+    def answer(scored):
+        known = F.col("token_address") == tokens[0]
+        return scored.withColumns(
+            {
+                "rationale": F.when(known, F.lit("Looks sound.")),
+                "confidence": F.when(known, F.lit("high")),
+                "model_used": F.when(known, F.lit("lab/r")),
+            }
+        )
+
+    def go(checkpoint):
+        stream = spark.readStream.schema(pairing.PAIRS).parquet(str(tmp_path / "pairs"))
+        decide.decide(stream, table, str(tmp_path / checkpoint), lambda _: now, answer).awaitTermination()
+        return {(r.agent, r.msg_id): r for r in sinks.read_findings(spark, table).collect()}
+
+    rows = go("one")
+    verdicts = {p["token_address"]: (p, r) for r in rows.values() if r.agent == "risk" for p in [json.loads(r.payload)]}
+    told = [json.loads(r.payload) for r in rows.values() if r.agent == "narrator"]
+    briefs, reviews = [p for p in told if "thesis" in p], [p for p in told if "reason" in p]
+    assert verdicts[tokens[0]][0]["score_0_100"] == 100 and not verdicts[tokens[0]][0]["requires_human_review"]
+    assert verdicts[tokens[1]][0]["red_flags"] == ["unverified-contract"] and verdicts[tokens[1]][0]["score_0_100"] is None
+    assert verdicts[tokens[2]][0]["missing_inputs"] == ["chain"]
+    assert verdicts[tokens[2]][1].upstream_ids == [ids["social", tokens[2]]]
+    assert [(b["token_name"], b["conviction_tier"], b["model_attribution"]) for b in briefs] == [("T0", "high", ["lab/r", "lab/s"])]
+    assert sorted(r["token_address"] for r in reviews) == tokens[1:]
+    # The same messages again, as after a lost checkpoint: every id is there already.
+    assert go("two") == rows
