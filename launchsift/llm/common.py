@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,12 @@ def sorted_digest(items: Column) -> Column:
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker gives free Arrow memory back to the machine."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns of ``df`` inside one column ``row``, so that no name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

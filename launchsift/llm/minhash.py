@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from launchsift.llm.common import packed, small_or_shuffled, text_key, unpacked, written
+from launchsift.llm.common import packed, released, small_or_shuffled, text_key, unpacked, written
 from launchsift.llm.components import components
 
 #: Retained values of a sketch.
@@ -36,7 +36,7 @@ TILE = 100_000
 #: Columns of a tile's incidence matrix that are multiplied at once.
 COLUMNS = 4096
 #: Words remembered with their hash by one worker.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -70,7 +70,7 @@ def shingle_hashes(text: str | None, size: int, known: dict | None = None) -> np
 
 def _texts(batches: Iterator[pa.RecordBatch], size: int):
     known = _WordHashes()
-    for batch in batches:
+    for batch in released(batches):
         at = list(zip(*[batch.column(c).to_pylist() for c in batch.schema.names if c != "text"], strict=True))
         for keys, text in zip(at, batch.column("text"), strict=True):
             if len(known) > REMEMBERED:
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, size: int, k: int = SKETCH) -> DataFrame:
         def made():
             for (doc, key), h in _texts(_again(first, batches), size):
                 if len(h):
-                    yield doc, key, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), h[:k]
+                    yield doc, key, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), h[:k].copy()
                 else:
                     yield doc, key, 0, None, None
 
@@ -142,7 +142,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from launchsift.llm.common import packed, unpacked
+from launchsift.llm.common import packed, released, unpacked
 
 SPACE = "▁"
 #: Words remembered with their ids by one worker; the memory is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Longer words are cut where no piece can reach across, and are not remembered.
 LONG = 48
 #: Documents encoded or decoded together.
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
+        for batch in released(batches):
             for part in _slices(batch):
                 ids = model.encode([t or "" for t in part.column("row").field("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
@@ -288,7 +288,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", column: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
+        for batch in released(batches):
             for part in _slices(batch):
                 lists = [i.values for i in part.column("row").field(ids)]
                 texts = [model.decode([] if i is None else i.to_numpy(zero_copy_only=False)) for i in lists]

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from launchsift.llm.common import packed, unpacked, written
+from launchsift.llm.common import packed, released, unpacked, written
 from launchsift.llm.sample import fold, labelled_sample
 
 #: Labelled documents used for fitting, half of them of either label where there are as many.
@@ -33,7 +34,7 @@ FOLDS = 5
 PRIOR = 0.1
 CATEGORIES = ("explicit", "severe", "toxic")
 #: Words whose terms one worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -221,18 +222,21 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                p = chain.probabilities(chain.features([t or "" for t in part.column("text").to_pylist()], memory))
+        for batch in released(batches):
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                texts = [t or "" for t in part.column("row").field("text").to_pylist()]
+                p = chain.probabilities(chain.features(texts, memory))
                 p = np.round(p, 9).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), *[pa.array(p[:, k]) for k in range(len(names))], pa.array(p[:, -1] >= chain.threshold)],
                     names=["row", *names, "toxic"],
                 )
 
-    schema = rows.schema.add("p_explicit", "double").add("p_severe", "double").add("p_toxic", "double").add("toxic", "boolean")
-    return rows.select("row", F.col("row.text").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType(
+        [rows.schema["row"], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("toxic", T.BooleanType())]
+    )
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
