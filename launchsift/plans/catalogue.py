@@ -7,7 +7,7 @@ import importlib
 from launchsift.plans.registry import Query
 
 FLAGSHIP = "q00_score_tokens"
-SECTIONS = ("intake", "signals", "verdicts", "store", "spend", "delivery", "health")
+SECTIONS = ("intake", "signals", "verdicts", "store", "spend", "delivery", "health", "reading")
 
 
 def all_queries() -> list[Query]:

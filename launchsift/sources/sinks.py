@@ -78,13 +78,17 @@ def store_findings(envelopes: DataFrame, path: str) -> None:
     )
 
 
-def append_llm_calls(calls: DataFrame, path: str) -> None:
-    """Appends audit rows; failed calls carry zero tokens and cost."""
+def audited(calls: DataFrame) -> DataFrame:
+    """Audit rows of model calls; failed calls carry zero tokens and cost."""
     failed = ~F.col("success")
     zero = {"input_tokens": 0, "output_tokens": 0}
-    rows = calls.withColumns(
+    return calls.withColumns(
         {c: F.when(failed, F.lit(z)).otherwise(F.col(c)) for c, z in zero.items()}
     ).withColumn(
         "cost_usd", F.when(failed, F.lit(0)).otherwise(F.col("cost_usd")).cast("decimal(10,6)")
     ).withColumn("day", F.to_date("created_at"))
-    rows.write.mode("append").partitionBy("day").parquet(path)
+
+
+def append_llm_calls(calls: DataFrame, path: str) -> None:
+    """Appends audit rows to a table laid out by day."""
+    audited(calls).write.mode("append").partitionBy("day").parquet(path)
