@@ -80,34 +80,34 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> np.ndarray:
     """Ridge logistic regression by accelerated gradient descent; the bias is last."""
-    one = np.column_stack((x, np.ones(len(x), np.float32))).astype(np.float64)
-    w = np.zeros(one.shape[1])
+    one = np.column_stack((x, np.ones(len(x), np.float32)))  # single precision, as the features are
+    w = np.zeros(one.shape[1], np.float32)
     if not 0 < y.mean() < 1:
         w[-1] = 30.0 * (1 if len(y) and y.mean() == 1 else -1)
         return w
     # Power iteration bounds the curvature.
-    v = np.ones(one.shape[1])
+    y, v = y.astype(np.float32), np.ones(one.shape[1], np.float32)
     for _ in range(20):
         v = one.T @ (one @ v)
         v /= np.linalg.norm(v)
-    step = 1 / (0.25 * np.linalg.norm(one.T @ (one @ v)) / len(one) * 1.1 + penalty)
+    step = np.float32(1) / (0.25 * np.linalg.norm(one.T @ (one @ v)) / len(one) * 1.1 + penalty)
     ahead, t = w, 1.0
-    keep = np.append(np.full(one.shape[1] - 1, penalty), 0)
+    keep = np.append(np.full(one.shape[1] - 1, penalty), 0).astype(np.float32)
     for _ in range(rounds):
         new = ahead - step * (one.T @ (_sigmoid(one @ ahead) - y) / len(one) + keep * ahead)
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, w, t = new + (t - 1) / t_next * (new - w), new, t_next
-    return w
+        ahead, w, t = new + np.float32((t - 1) / t_next) * (new - w), new, t_next
+    return w.astype(np.float64)
 
 
 def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Weights per category, and the out-of-fold probabilities (rows, categories)."""
-    held_out = np.zeros((len(x), 0))
+    held_out = np.zeros((len(x), 0), np.float32)
     weights = []
     for y in targets:
         given = np.column_stack((x, held_out))
         weights.append(_logistic(given, y))
-        p = np.zeros(len(x))
+        p = np.zeros(len(x), np.float32)
         for f in np.unique(folds):
             w = _logistic(given[folds != f], y[folds != f])
             p[folds == f] = _sigmoid(given[folds == f] @ w[:-1] + w[-1])
@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Chain:
         chain.weights = [np.insert(none, -1, np.zeros(k)) for k in range(len(CATEGORIES))]
         return chain
     x = np.concatenate(xs)
+    xs.clear()
     strong = x[:, : len(terms)][:, [not t.endswith("*") for t in terms]]
     places = np.expm1(strong).sum(1) + (np.expm1(x[:, : len(terms)]) > 0.5).any(1)
     targets = [y * (places >= 1), y * (places >= 4), y]
