@@ -63,9 +63,8 @@ def validate_envelopes(envelopes: DataFrame) -> DataFrame:
     return envelopes.withColumn("errors", _errors(checks)).drop("extra_keys")
 
 
-def _has_type(raw: Column, value: Column, dtype: T.DataType) -> Column:
-    """Whether a JSON value may stand for ``dtype``: its own type, or a text that spells it."""
-    kind = F.schema_of_variant(raw)
+def _has_type(kind: Column, value: Column, dtype: T.DataType) -> Column:
+    """Whether a JSON value of ``kind`` may stand for ``dtype``: its own type, or a text that spells it."""
     number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
     spelled = (kind == "STRING") & value.isNotNull()
     if isinstance(dtype, T.StringType):
@@ -77,8 +76,18 @@ def _has_type(raw: Column, value: Column, dtype: T.DataType) -> Column:
         return texts & F.coalesce(F.forall(value, lambda x: x.isNotNull()), F.lit(False))
     if isinstance(dtype, T.DoubleType):
         return number | spelled
-    whole = F.try_variant_get(raw, "$", "double")
-    return (number & (whole == F.floor(whole))) | spelled
+    # A fraction reads as null where a whole number is asked for (see ``_reading``).
+    return (number & value.isNotNull()) | spelled
+
+
+def _reading(raw: Column, dtype: T.DataType) -> Column:
+    """(kind, value) of a JSON value; an absent one has no kind, a null is of kind VOID."""
+    kind = F.schema_of_variant(raw)
+    value = F.try_variant_get(raw, "$", dtype.simpleString())
+    if isinstance(dtype, (T.IntegerType, T.LongType)):
+        exact = F.try_variant_get(raw, "$", "double")
+        value = F.when((kind == "BIGINT") | (exact == F.floor(exact)), value)
+    return F.struct(kind.alias("kind"), value.alias("value"))
 
 
 @dataclass(frozen=True)
@@ -94,11 +103,12 @@ class Field:
     optional: bool = False
     nullable: bool = False
 
-    def ok(self, raw: Column, value: Column, dtype: T.DataType) -> Column:
-        """``raw`` is the field's JSON value (null if absent), ``value`` what it reads as."""
+    def ok(self, read: Column, dtype: T.DataType) -> Column:
+        """``read`` is the field's (kind, value)."""
+        kind, value = read["kind"], read["value"]
         if isinstance(dtype, T.StringType):
             value = strip(value)
-        good = value.isNotNull() & _has_type(raw, value, dtype)
+        good = value.isNotNull() & _has_type(kind, value, dtype)
         if self.pattern is not None:
             good = good & value.rlike(self.pattern)
         if self.length is not None:
@@ -112,8 +122,8 @@ class Field:
         if self.among is not None:
             good = good & value.isin(*self.among)
         return (
-            F.when(raw.isNull(), F.lit(self.optional))
-            .when(F.is_variant_null(raw), F.lit(self.nullable))
+            F.when(kind.isNull(), F.lit(self.optional))
+            .when(kind == "VOID", F.lit(self.nullable))
             .otherwise(good)
         )
 
@@ -207,6 +217,10 @@ PAYLOADS: dict[str, PayloadRules] = {
 }
 
 
+#: Fields that are read and checked in one step.
+STEP = 2
+
+
 def validate_payload(
     rows: DataFrame, kind: str, payload: str = "payload", keep: str | None = None
 ) -> DataFrame:
@@ -219,16 +233,26 @@ def validate_payload(
     entries = F.try_variant_get(F.try_parse_json(F.col(payload)), "$", "map<string,variant>")
     known = F.array(*[F.lit(f.name) for f in rules.fields])
     parsed = computed_once(rows, "_json", entries)
-    held = {f.name: F.try_element_at(F.col("_json"), F.lit(f.name)) for f in rules.fields}
     types = {f.name: rules.schema[f.name].dataType for f in rules.fields}
-    values = {n: F.try_variant_get(raw, "$", types[n].simpleString()) for n, raw in held.items()}
-    checks = [(f.name, f.ok(held[f.name], values[f.name], types[f.name])) for f in rules.fields]
+    # Few fields a step: the code made for one step stays small enough to be compiled.
+    names, read, checks = list(types), {}, []
+    for at in range(0, len(names), STEP):
+        mine = names[at : at + STEP]
+        readings = [_reading(F.try_element_at(F.col("_json"), F.lit(n)), types[n]).alias(n) for n in mine]
+        parsed = computed_once(parsed, f"_read{at}", F.struct(*readings))
+        read |= {n: F.col(f"_read{at}")[n] for n in mine}
+        oks = [f.ok(read[f.name], types[f.name]).alias(f.name) for f in rules.fields if f.name in mine]
+        parsed = computed_once(parsed, f"_ok{at}", F.struct(*oks))
+        checks += [(f.name, F.col(f"_ok{at}")[f.name]) for f in rules.fields if f.name in mine]
+    order = [f.name for f in rules.fields]
+    checks.sort(key=lambda c: order.index(c[0]))
+    helpers = [f"_{kind}{at}" for kind in ("read", "ok") for at in range(0, len(names), STEP)]
     extra = F.array_except(F.coalesce(F.map_keys("_json"), F.array().cast("array<string>")), known)
     checks.append(("unknown_keys", F.size(extra) == 0))
     checked = parsed.withColumn("errors", _errors(checks))
     if keep is not None:
-        checked = checked.withColumn(keep, F.struct(*[v.alias(n) for n, v in values.items()]))
-    return checked.drop("_json")
+        checked = checked.withColumn(keep, F.struct(*[r["value"].alias(n) for n, r in read.items()]))
+    return checked.drop("_json", *helpers)
 
 
 #: The payload kinds that each agent may send.
