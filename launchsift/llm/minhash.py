@@ -155,20 +155,33 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _shared_of_whole(n: str, percent: int, k: int) -> Column:
+    """Retained values that a whole set of ``n`` elements shares with any similar one, at least.
+
+    A partner that is whole too shares ``percent`` of it.  One of m > k elements has lost m - k of
+    its own, which may all be common; the longest one, m = n / percent, leaves the fewest.
+    """
+    whole = F.ceil(F.col(n) * percent / 100)
+    longest = F.floor(F.col(n) * 100 / percent)
+    common = F.ceil((F.col(n) + longest) * percent / (100 + percent))
+    return F.when(longest > k, F.greatest(F.least(whole, common - (longest - k)), F.lit(1))).otherwise(whole)
+
+
 def _retained_lists(classes: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
     """(value, v, n, alone): every class under the rarest retained values of its sketch.
 
     Two sketches with ``shared`` values in common also share one of their rarest
     ``size - shared + 1`` values, in any fixed order of all values; by rarity, values that
     many documents hold (such as a common passage) propose few pairs.  A sketch that is a
-    whole set shares ``percent`` of it.  ``alone`` counts the values that no other class retains.
+    whole set shares what :func:`_shared_of_whole` says.  ``alone`` counts the values that no
+    other class retains.
     """
     spread = classes.select("v", "n", F.explode("sketch").alias("value"))
     frequent = written(
         spread.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent-values"
     )
     size = F.least("n", F.lit(k))
-    prefix = size - F.when(F.col("n") <= k, F.ceil(size * percent / 100)).otherwise(shared) + 1
+    prefix = size - F.when(F.col("n") <= k, _shared_of_whole("n", percent, k)).otherwise(shared) + 1
     mine = Window.partitionBy("v")
     return (
         spread.join(frequent, "value")

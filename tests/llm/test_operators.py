@@ -248,6 +248,14 @@ def test_near_duplicates_of_edited_copies(spark):
     check_near(spark, texts, 4)
 
 
+def test_whole_sets_meet_cut_sketches(spark):
+    texts = []
+    for k, (short, long) in enumerate([(60, 75), (62, 77), (63, 78), (64, 65), (64, 77), (64, 78), (64, 79)] * 4 + [(64, 80)] * 12):
+        words = [f"w{k}x{i}" for i in range(long + 3)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: short + 3]))]
+    check_near(spark, texts, 4)
+
+
 def test_drop_near_duplicates(docs, none):
     out = minhash.drop_near_duplicates(docs, 5)
     assert out.columns == docs.columns and minhash.drop_near_duplicates(none).count() == 0
