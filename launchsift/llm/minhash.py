@@ -12,6 +12,7 @@ the rest are compared with their group in tiles, which return links and no other
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,8 @@ from launchsift.llm.components import components
 
 #: Retained values of a sketch.
 SKETCH = 64
-#: Retained values that a similar pair shares at least.  Each sketch holds about 8 / 9 values
-#: of the other at similarity 0.8: 57 with a standard deviation of 2.6.
-SHARED = 43
-#: The union sketch may estimate so much too low (five standard deviations).
-SLACK = 0.25
+#: Chance with which a pair right at the threshold may share fewer retained values than assumed.
+LOST = 1e-9
 #: Hashes on one side of a tile when the members of a group that are still apart meet.
 TILE = 100_000
 #: Columns of a tile's incidence matrix that are multiplied at once.
@@ -155,6 +153,22 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def least_shared(percent: int, k: int = SKETCH, lost: float = LOST) -> int:
+    """Retained values that two similar sketches of ``k`` share, but for a chance of ``lost``.
+
+    The values of the lower-reaching sketch are a random choice from its set, of which the
+    other set holds at least ``percent``: just that where the shorter set lies in the longer
+    one.  Without replacement the lower tail is lighter than the binomial one used here.  The
+    same bound holds for the union sketch.
+    """
+    p, tail = percent / 100, 0.0
+    for few in range(k):
+        tail += math.comb(k, few) * p**few * (1 - p) ** (k - few)
+        if tail > lost:
+            return max(1, few)
+    return k
+
+
 def _shared_of_whole(n: str, percent: int, k: int) -> Column:
     """Retained values that a whole set of ``n`` elements shares with any similar one, at least.
 
@@ -237,8 +251,9 @@ def _able(mine: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).drop("usable")
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int = SKETCH, shared: int = SHARED) -> DataFrame | None:
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int = SKETCH) -> DataFrame | None:
     """(v, component): classes that have a similar partner, with their component; None without pairs."""
+    shared = least_shared(percent, k)
     lists = written(_retained_lists(classes, percent, k, shared), "retained")
     sketch = classes.select("v", "sketch")
     wanted = lists.select("v").distinct().join(
@@ -252,7 +267,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int =
         union = F.slice(F.array_sort(F.array_union("x", "y")), 1, k)
         common = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
         likely = written(
-            both.filter(common >= F.size(union) * (percent / 100 - SLACK)).select("a", "b"), "likely"
+            both.filter(common >= F.size(union) * shared / k).select("a", "b"), "likely"
         )
         ends = written(likely.select(F.col("a").alias("v")).union(likely.select(F.col("b").alias("v"))).distinct(), "ends")
         needed = sets.join(small_or_shuffled(ends), "v", "left_semi")

@@ -256,6 +256,19 @@ def test_whole_sets_meet_cut_sketches(spark):
     check_near(spark, texts, 4)
 
 
+def test_sketches_that_share_few_values(spark):
+    """A set of 800 inside one of 1,000, chosen so that the sketches share at most 42 values."""
+    r, texts = random.Random(8), []
+    while len(texts) < 4:
+        words = [f"v{r.getrandbits(40)}" for _ in range(1003)]
+        h = minhash.shingle_hashes(" ".join(words), 4)[:64]
+        part = minhash.shingle_hashes(" ".join(words[:803]), 4)[:64]
+        if len(np.intersect1d(h, part)) <= 42:
+            texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join(words[:803]))]
+    check_near(spark, texts, 4)
+    assert minhash.least_shared(80) == 30
+
+
 def test_drop_near_duplicates(docs, none):
     out = minhash.drop_near_duplicates(docs, 5)
     assert out.columns == docs.columns and minhash.drop_near_duplicates(none).count() == 0
