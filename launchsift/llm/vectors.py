@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from launchsift.llm.common import packed, written
 from launchsift.llm.components import components
 
-#: Random directions; one sign of each is kept.
-SIGNS = 256
-#: Signs that make up the sorting key of a pass.
+#: Signs of products with random directions that make up the sorting key of a pass.
 KEY_SIGNS = 60
+#: Vectors around which the density is measured, and bins of the angle.
+ASKING = 256
+ANGLES = 180
+#: Cosines in single precision are off by less than this.
+SINGLE = 2e-5
 #: Neighbours on either side that a vector is compared with, at least.
 WINDOW = 128
 #: Vectors of a block that are compared at once.
@@ -37,14 +40,76 @@ RECALL = 0.95
 TILE = 512
 
 
-def passes_needed(vectors: int, cosine: float, recall: float = RECALL, window: int = WINDOW) -> int:
+def passes_needed(crowds: np.ndarray, cosine: float, recall: float = RECALL, window: int = WINDOW) -> int:
     """Passes after which a pair at the threshold has met with chance ``recall``.
 
-    Two vectors meet in a pass if they agree in about log2(vectors / window) signs.
+    ``crowds`` counts around some vectors, a row for each, the vectors that are not linked with
+    it by their angle (:func:`crowds_of`).  A pair meets in a pass if it agrees in so many signs
+    that at most ``window`` of those are expected to agree as well; the chance is the mean over
+    the rows.
     """
-    agree = 1 - math.acos(cosine) / math.pi
-    met = agree ** max(1.0, math.log2(max(2.0, vectors / window)))
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(met, 0.99))))
+    if not len(crowds):
+        return 4
+    agree = 1 - np.arange(crowds.shape[1]) / crowds.shape[1]  # at the near edge of each bin
+    left = np.stack([crowds @ agree**signs for signs in range(1, KEY_SIGNS + 1)])
+    signs = np.where((left <= window).any(0), (left <= window).argmax(0) + 1, KEY_SIGNS)
+    missed = 1 - np.minimum((1 - math.acos(cosine) / math.pi) ** signs, 0.99)
+    low, high = 4, 4
+    while (missed**high).mean() > 1 - recall:
+        low, high = high + 1, 2 * high
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if (missed**middle).mean() <= 1 - recall else (middle + 1, high)
+    return high
+
+
+def crowds_of(unique: DataFrame, cosine: float) -> np.ndarray:
+    """Counts of vectors by their angle to each of some vectors, linked ones left out.
+
+    The asking vectors are the first by name, which is a hash.  Every vector is compared with them.
+    """
+    asking: dict[int, np.ndarray] = {}
+    for r in unique.select("v", "x").orderBy("v").limit(ASKING).collect():
+        x = np.frombuffer(r["x"])
+        asking.setdefault(len(x), []).append(_unit(x[None])[0])
+    asking = {d: np.stack(x) for d, x in asking.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {d: np.zeros((len(x), ANGLES), np.int64) for d, x in asking.items()}
+        for batch in batches:
+            for d, x in _by_length(batch.column("x").to_pylist()):
+                if d not in found:
+                    continue
+                near = np.clip(asking[d] @ _unit(x[1]).T, -1, 1)
+                at = np.minimum((np.arccos(near) / math.pi * ANGLES).astype(np.int64), ANGLES - 1)
+                at += np.arange(len(near))[:, None] * ANGLES
+                found[d] += np.bincount(at[near < cosine], minlength=len(near) * ANGLES).reshape(-1, ANGLES)
+        flat = [(d, q, a, int(m[q, a])) for d, m in found.items() for q, a in zip(*np.nonzero(m))]
+        if flat:
+            d, q, a, n = zip(*flat)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(d, pa.int32()), pa.array(q, pa.int32()), pa.array(a, pa.int32()), pa.array(n, pa.int64())],
+                names=["d", "q", "a", "n"],
+            )
+
+    counted = unique.select("x").mapInArrow(run, "d int, q int, a int, n long").groupBy("d", "q", "a").agg(F.sum("n").alias("n"))
+    out = {d: np.zeros((len(x), ANGLES)) for d, x in asking.items()}
+    for r in counted.collect():
+        out[r["d"]][r["q"], r["a"]] = r["n"]
+    return np.concatenate(list(out.values())) if out else np.zeros((0, ANGLES))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _by_length(raw: list[bytes], kind=np.float64) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """(components, (rows, vectors)) for every length among ``raw``."""
+    sizes = np.array([len(r) for r in raw]) // np.dtype(kind).itemsize
+    for d in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == d)
+        yield d, (mine, np.frombuffer(b"".join(raw[i] for i in mine), kind).reshape(-1, d))
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,14 +140,6 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, written(alike, "vectors")
 
 
-def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing signs of every pair of rows, from rows of 64-bit words."""
-    out = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(a.shape[1]):
-        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return out
-
-
 def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what the matrix ``near`` connects, one per joined node."""
     left = np.ones(len(near), bool)
@@ -102,46 +159,41 @@ def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def candidates(unique: DataFrame, cosine: float, seed: int = 11) -> DataFrame:
-    """(a, b): pairs that met in a window and whose signs allow ``cosine``.
+    """(a, b): pairs that met in a window and whose cosine in single precision allows ``cosine``.
 
-    Pairs whose signs leave little doubt are thinned to those that connect their block, as
-    links are counted later; pairs near the threshold all stay.
+    Sure links are thinned to those that connect what their block links, as links are counted
+    later; pairs too close to the threshold for single precision all stay.
     """
     spark = unique.sparkSession
-    count = unique.count()
-    passes = passes_needed(count, cosine)
-    expected = SIGNS * math.acos(cosine) / math.pi
-    doubt = 5 * math.sqrt(expected * (1 - expected / SIGNS))
-    sure, possible = max(0.0, expected - doubt / 2), expected + doubt
+    passes = passes_needed(crowds_of(unique, cosine), cosine)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(seed)
-        picks = [random.permutation(SIGNS)[:KEY_SIGNS] for _ in range(passes)]
         power = (1 << np.arange(KEY_SIGNS - 1, -1, -1)).astype(np.int64)
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             raw = batch.column("x").to_pylist()
-            signs = np.zeros((len(raw), SIGNS), bool)
-            sizes = np.array([len(r) // 8 for r in raw])
-            for d in np.unique(sizes).tolist():
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, SIGNS))
-                mine = np.flatnonzero(sizes == d)
-                x = np.frombuffer(b"".join(raw[i] for i in mine), np.float64).reshape(-1, d)
-                x = x / np.abs(x).max(1, keepdims=True)
-                signs[mine] = x @ planes[d] > 0
-            bits = pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary())
-            for p, pick in enumerate(picks):
+            units = [(d, mine, _unit(x)) for d, (mine, x) in _by_length(raw)]
+            short = [b""] * len(raw)
+            for _, mine, x in units:
+                for i, one in zip(mine.tolist(), x.astype(np.float32)):
+                    short[i] = one.tobytes()
+            short = pa.array(short, pa.binary())
+            for p in range(passes):
+                key = np.zeros(len(raw), np.int64)
+                for d, mine, x in units:
+                    if (d, p) not in planes:
+                        planes[d, p] = np.random.default_rng([seed, d, p]).standard_normal((d, KEY_SIGNS))
+                    key[mine] = (x @ planes[d, p] > 0) @ power
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p] * len(raw), pa.int32()), pa.array(signs[:, pick] @ power), batch.column("v"), bits],
-                    names=["pass", "key", "v", "bits"],
+                    [pa.array([p] * len(raw), pa.int32()), pa.array(key), batch.column("v"), short],
+                    names=["pass", "key", "v", "x"],
                 )
 
     order = ["key", "v"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range partition is the bucket in which ranks are counted; written, it stays as it is.
     dealt = written(
-        unique.select("v", "x").mapInArrow(keys, "pass int, key long, v binary, bits binary")
+        unique.select("v", "x").mapInArrow(keys, "pass int, key long, v binary, x binary")
         .repartitionByRange(n, "pass", *order)
         .withColumn("bucket", F.spark_partition_id()),
         "passes",
@@ -156,17 +208,18 @@ def candidates(unique: DataFrame, cosine: float, seed: int = 11) -> DataFrame:
     block = F.floor(F.col("rank") / BLOCK).cast("long")
     at_end = F.pmod("rank", F.lit(BLOCK)) >= BLOCK - WINDOW
     blocks = ranked.select(
-        "pass", "v", "bits",
+        "pass", "v", "x",
         F.explode(F.when(at_end, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"),
     )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        apart = _hamming(words, words)
-        np.fill_diagonal(apart, SIGNS)
-        edges = _spanning(apart <= sure)
-        a, b = np.nonzero(np.triu((apart > sure) & (apart <= possible)))
-        edges += zip(a.tolist(), b.tolist())
+        edges = []
+        for _, (mine, x) in _by_length(pdf["x"].tolist(), np.float32):
+            near = x @ x.T
+            np.fill_diagonal(near, -1)
+            edges += [(mine[i], mine[j]) for i, j in _spanning(near >= cosine + SINGLE)]
+            a, b = np.nonzero(np.triu(np.abs(near - cosine) < SINGLE))
+            edges += zip(mine[a], mine[b])
         v = pdf["v"].tolist()
         return pd.DataFrame([sorted((v[i], v[j])) for i, j in edges], columns=["a", "b"])
 

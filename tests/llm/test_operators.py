@@ -1,6 +1,7 @@
 """The operators on awkward rows and small tables, against plain Python models."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -330,6 +331,33 @@ def test_vector_passes_recall(spark):
 # --------------------------------------------------------------------------------------- urls
 
 
+def test_vector_passes_in_a_dense_cluster(spark):
+    """Pairs at the threshold inside a cluster whose other members are at a cosine of 0.8."""
+    r = np.random.default_rng(6)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    centre = unit(r.normal(size=64))
+
+    def across(n):
+        x = r.normal(size=(n, 64))
+        return unit(x - (x @ centre)[:, None] * centre)
+
+    own = across(2400)
+    beside = across(300)
+    beside = unit(beside - (beside * own[:300]).sum(1, keepdims=True) * own[:300])
+    own = np.concatenate((own, 0.505 * own[:300] + math.sqrt(1 - 0.505**2) * beside))
+    x = math.sqrt(0.8) * centre + math.sqrt(0.2) * own
+    near = x @ x.T >= 0.9
+    want = near.sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, embedding array<double>")
+    got = {f["vec_id"]: f["n_links"] for f in listed(vectors.near_vectors(df))}
+    share = sum(min(got[i], int(n)) for i, n in enumerate(want)) / want.sum()
+    print("share of links found", share)
+    assert want[:300].min() >= 1 and share >= vectors.RECALL
+
+
 def test_urls(spark):
     r = random.Random(8)
     rows = []
