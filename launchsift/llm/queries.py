@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from launchsift.llm import (
+    conversations,
     decontaminate,
+    language,
     licenses,
     minhash,
     pieces,
@@ -16,10 +18,11 @@ from launchsift.llm import (
     secrets,
     shards,
     toxicity,
+    trie,
     urls,
     vectors,
 )
-from launchsift.llm.common import sorted_digest
+from launchsift.llm.common import sorted_digest, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,3 +232,63 @@ def op9(spark, folder):
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+# -------------------------------------------------------------------------------- languages
+
+
+@query("op11_language")
+def op11(spark, folder):
+    return language.languages(table(spark, folder, "documents"))
+
+
+# ----------------------------------------------------------------------------- conversations
+
+
+@query("op12_conversation_repair")
+def op12(spark, folder):
+    original = table(spark, folder, "conversations")
+    rows = conversations.damage(original)
+    audited = written(conversations.audits(rows, original), "conversation-audits")
+    return conversations.repaired_digests(rows, audited)
+
+
+# CRC-32 of the decimal digits of c, bit by bit.
+_CRC = """
+xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+    lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)
+"""
+
+OP13_SQL = f"""
+WITH own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+led AS (SELECT c, w, c - c % 5 AS base, CAST({_CRC} % 9 AS BIGINT) AS h FROM own),
+seq AS (
+  SELECT led.c, list_concat(coalesce(list_slice(own.w, 1, h), []), list_slice(led.w, h + 1, len(led.w))) AS s
+  FROM led LEFT JOIN own ON own.c = led.base),
+step AS (
+  SELECT c, d, sha256(CAST(to_json(list_slice(s, 1, d)) AS VARCHAR)) AS k, d = len(s) AS final,
+    CASE WHEN d = 0 THEN 0 ELSE strlen(s[d].t) END AS b
+  FROM seq, unnest(range(len(s) + 1)) AS u(d)),
+node AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n, min(b) AS b,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (final), '')) AS ends
+  FROM step GROUP BY d, k),
+path AS (SELECT c, d, conv_id FROM step JOIN node USING (d, k)),
+linked AS (SELECT node.*, path.conv_id AS parent FROM node LEFT JOIN path ON path.c = node.conv_id AND path.d = node.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (conv_id, d)),
+total AS (
+  SELECT path.conv_id, path.d, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n - 1) * y.b) AS saved
+  FROM full_node y JOIN path ON path.c = y.conv_id AND path.d <= y.d GROUP BY ALL)
+SELECT conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM full_node JOIN total USING (conv_id, d)
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark, folder):
+    return trie.prefix_trie(*trie.rebuild(trie.numbered_turns(table(spark, folder, "conversations"))))
