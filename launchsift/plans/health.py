@@ -307,6 +307,6 @@ DAY_US = 86_400_000_000
 )
 def first_launches(t):
     rows = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return anchored.first_per_period(rows, ["user_id"], "ts", "event_id", 86_400, bucket_s=3 * 86_400).select(
+    return anchored.first_per_period(rows, ["user_id"], "ts", "event_id", 86_400).select(
         "event_id", "user_id"
     )

@@ -78,18 +78,45 @@ def anchor_model(hits, period):
     return out
 
 
-@pytest.mark.parametrize("bucket_s", [20, 100, 1000, 10**6])
-@pytest.mark.parametrize("seed", [3, 4])
-def test_anchored_windows(table, seed, bucket_s):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("parts", [None, 7])
+@pytest.mark.parametrize("period", [1, 60, 3000])
+def test_anchored_windows(table, parts, period):
+    rng = random.Random(period)
     hits = [(i, keyed(rng), rng.randint(0, 8000)) for i in range(900)]
-    want = anchor_model(hits, 60)
+    want = anchor_model(hits, period)
     df = table([(i, k, at(t)) for i, k, t in hits], "id bigint, key string, ts timestamp")
-    got = anchored.anchored_windows(df, ["key"], "ts", "id", 60, bucket_s).collect()
+    got = anchored.anchored_windows(df, ["key"], "ts", "id", period, parts).collect()
     base = int(START.timestamp() * 1_000_000)
     assert {r.id: ((r.window_start - base) // 1_000_000, r.hit_no) for r in got} == want
 
 
+@pytest.mark.parametrize("period", [7, 500, 10**5])
+def test_one_hot_key_over_many_parts(spark, table, period):
+    rng = random.Random(period)
+    # Even steps never let two chains of windows meet; the crowded second half has many hits at one time.
+    times = [i * 3 for i in range(400)] + [1200 + rng.randint(0, 40) for _ in range(400)] + [1300 + i for i in range(300)]
+    hits = [(i, None if i % 50 == 0 else "hot", t) for i, t in enumerate(times)]
+    df = table([(i, k, at(t)) for i, k, t in hits], "id bigint, key string, ts timestamp")
+    found = anchored.anchored_windows(df, ["key"], "ts", "id", period, 23)
+    got = found.collect()
+    base = int(START.timestamp() * 1_000_000)
+    assert {r.id: ((r.window_start - base) // 1_000_000, r.hit_no) for r in got} == anchor_model(hits, period)
+    # No task holds more than a small share of the hot key's hits.
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= len(hits) // 8
+    # The parts keep their numbers where the result is combined with others.
+    both = found.unionByName(found.coalesce(2)).groupBy("id").agg(F.countDistinct("window_start", "hit_no").alias("n"), F.count("*").alias("rows"))
+    assert both.filter("n <> 1 or rows <> 2").isEmpty()
+
+
+def test_anchored_windows_of_awkward_hits(table):
+    kind = "id bigint, a string, b int, ts timestamp, _at string"
+    hits = [(1, None, 1, at(0), "x"), (2, None, 1, at(59), "x"), (3, None, None, at(60), "x"), (4, "", 1, None, "x"), (5, "k", 1, at(10**9), "x"), (6, "k", 1, at(0), "x"), (6, "k", 1, at(0), "x")]
+    got = anchored.anchored_windows(table(hits, kind), ["a", "b"], "ts", "id", 60, 4).collect()
+    assert sorted((r.id, r.hit_no) for r in got) == [(1, 1), (2, 2), (3, 1), (5, 1), (6, 1), (6, 2)]
+    assert anchored.anchored_windows(table([], kind), ["a", "b"], "ts", "id", 60).count() == 0
+
+
 def test_large_ids_survive_and_refusals_count(table):
     first = 2**60 + 1
     df = table([(first + i, "a", at(i)) for i in range(5)] + [(first + 9, "a", at(60))], "id bigint, key string, ts timestamp")
