@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql import types as T
 
-from launchsift.functions.schemas import ENVELOPE, FINDING
+from launchsift.functions.schemas import ENVELOPE, FINDING, TEXT, struct
 from launchsift.operators.envelope import append_findings
+from launchsift.operators.lineage import ABOVE, MISSING, closures
+from launchsift.sources.files import exists
+from launchsift.sources.keyed import Keyed
 
 
 def envelope_lines(envelopes: DataFrame) -> DataFrame:
@@ -32,14 +39,16 @@ def write_envelopes(envelopes: DataFrame, path: str) -> None:
     envelope_lines(envelopes).write.mode("append").text(path)
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(StructType([*FINDING.fields, StructField("day", DateType())])).parquet(path)
+#: Columns that are folders of a findings table.
+FOLDERS = struct(day=T.DateType(), stored_by=TEXT)
+
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*FINDING.fields, *FOLDERS.fields])).parquet(path)
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is such a file or folder, in whatever file system the path names."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path).drop("stored_by")
 
 
 SENT = "msg_id string, chat_id int, sent_at timestamp, batch bigint"
@@ -53,29 +62,70 @@ def read_sent(spark: SparkSession, outbox: str, before: int | None = None) -> Da
     return (sent if before is None else sent.filter(F.col("batch") < before)).drop("batch")
 
 
-def store_findings(envelopes: DataFrame, path: str) -> None:
+#: What the index knows of a stored id: its folder, what lies upstream and which parents were not stored.
+INDEXED = struct(msg_id=TEXT, agent=TEXT, day=T.DateType(), stored_by=TEXT, above=ABOVE, missing=MISSING)
+#: A search names so many folders in its filter.
+NAMED_FOLDERS = 200
+
+
+def findings_index(path: str) -> Keyed:
+    """The index of a findings table, by id."""
+    return Keyed(f"{path.rstrip('/')}_index", "msg_id", INDEXED, ("stored_by",))
+
+
+def store_findings(envelopes: DataFrame, path: str, batch: str | None = None) -> None:
     """Inserts envelopes whose id is not stored yet; repeats are no-ops.
 
-    Files are laid out by agent and day so that the reads of one agent or of recent days
-    touch only their folders.
+    Files are laid out by agent, day and batch, so that the reads of one agent or of recent
+    days touch only their folders.  Whether an id is stored, and what lies upstream of its
+    parents, is asked of the index, whose reading follows the batch and not the table.  The
+    table is written before the index: a batch that is repeated under its name finds the same
+    rows new and replaces its files.
     """
-    spark = envelopes.sparkSession
-    new = envelopes.withColumn("created_at", F.to_timestamp("created_at"))
-    if exists(spark, path):
-        # An id follows from its agent among others, so only the batch's agents are read.
-        agents = [r[0] for r in new.select("agent").distinct().collect()]  # a fixed set of names
-        stored = read_findings(spark, path).filter(F.col("agent").isin(agents))
-    else:
-        stored = new.limit(0)
-    (
-        append_findings(new, stored, ["created_at", "payload_hash"])
+    name, index = batch or uuid.uuid4().hex, findings_index(path)
+    arrived = envelopes.withColumn("created_at", F.to_timestamp("created_at"))
+    asked = arrived.select(F.explode(F.concat(F.array("msg_id"), F.coalesce("upstream_ids", F.array()))).alias("msg_id"))
+    # Looked up again after a loss they are the same: the batch does not see its own entries.
+    entries = index.lookup(asked, name).persist()
+    new = (
+        append_findings(arrived, entries, ["created_at", "payload_hash"])
         .withColumn("on_chain_tx", F.lit(None).cast("string"))
         .withColumn("on_chain_block", F.lit(None).cast("bigint"))
         .withColumn("day", F.to_date("created_at"))
-        # One task per agent, day and slice of the ids, so a batch leaves few files.
-        .repartition("agent", "day", F.pmod(F.xxhash64("msg_id"), F.lit(8)))
-        .write.mode("append").partitionBy("agent", "day").parquet(path)
+        .withColumn("stored_by", F.lit(name))
+        .persist()
     )
+    try:
+        if new.isEmpty():
+            return
+        (
+            # One task per agent, day and slice of the ids, so a batch leaves few files.
+            new.repartition("agent", "day", F.pmod(F.xxhash64("msg_id"), F.lit(8)))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("agent", "day", "stored_by")
+            .parquet(path)
+        )
+        above = closures(new, entries)
+        index.put(new.select("msg_id", "agent", "day", "stored_by").join(above, "msg_id"), name)
+    finally:
+        new.unpersist()
+        entries.unpersist()
+
+
+def find_findings(asked: DataFrame, path: str) -> DataFrame:
+    """The stored findings of the ids (``msg_id``) in ``asked``, read from their folders alone."""
+    spark = asked.sparkSession
+    places = findings_index(path).lookup(asked)
+    folders = places.select("agent", "day", "stored_by").distinct().limit(NAMED_FOLDERS + 1).collect()
+    if not folders:
+        return spark.createDataFrame([], T.StructType([*FINDING.fields, FOLDERS["day"]]))
+    stored = _stored(spark, path)
+    if len(folders) <= NAMED_FOLDERS:
+        day = [F.col("day") == F.lit(f["day"]) if f["day"] else F.col("day").isNull() for f in folders]
+        each = [(F.col("agent") == f["agent"]) & d & (F.col("stored_by") == f["stored_by"]) for f, d in zip(folders, day)]
+        stored = stored.filter(reduce(or_, each))
+    return stored.drop("stored_by").join(asked.select("msg_id").distinct(), "msg_id", "left_semi")
 
 
 def audited(calls: DataFrame) -> DataFrame:

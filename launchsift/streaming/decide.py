@@ -13,11 +13,11 @@ from launchsift.functions.constants import PAIR_TIMEOUT_S
 from launchsift.functions.schemas import BRIEF, CHAIN, REVIEW, SOCIAL, VERDICT
 from launchsift.operators.brief import build_brief, human_review, route_verdicts
 from launchsift.operators.envelope import build_envelopes
-from launchsift.operators.lineage import lineage, model_attribution, token_names
+from launchsift.operators.lineage import cut_plan, kept_lineage, kept_names, model_attribution
 from launchsift.operators.modeltext import parse_responses
 from launchsift.operators.risk import aggregate_score, build_verdict, partial_verdicts, run_rules
-from launchsift.sources.sinks import read_findings, store_findings
-from launchsift.streaming.jobs import run
+from launchsift.sources.sinks import find_findings, findings_index, store_findings
+from launchsift.streaming.jobs import named, run
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -90,28 +90,34 @@ def decide(
 
     ``now`` gives a batch's time; with it all ids follow from the content, so a repeated
     batch changes nothing.  ``tell`` adds (content, model_used) to verdicts that get a brief.
+    A batch reads the folders of its own messages and the index entries of what lies upstream
+    of them; neither grows with the table.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark, at = batch.sparkSession, now(batch_id)
-        made = verdicts_of(batch, read_findings(spark, table), answer, timeout_s)
+        at, name = now(batch_id), named(checkpoint, batch_id)
+        halves = [batch.select(F.col(f"{side}_id").alias("msg_id")) for side in ("social", "chain")]
+        asked = halves[0].unionByName(halves[1]).filter("msg_id is not null")
+        made = verdicts_of(batch, find_findings(asked, table), answer, timeout_s)
         sealed = build_envelopes(made, "risk", VERDICT, at, F.col("upstream_ids"), F.col("model_used")).persist()
         try:
-            store_findings(sealed, table)
+            store_findings(sealed, table, f"{name}-risk")
             verdicts = sealed.select("msg_id", F.from_json("payload", VERDICT).alias("v")).select("msg_id", "v.*")
             to_brief, to_review = route_verdicts(verdicts)
-            reviews = human_review(to_review, at)
-            store_findings(build_envelopes(reviews, "narrator", REVIEW, at, F.array("risk_verdict_msg_id")), table)
-            stored = read_findings(spark, table)
+            reviews = build_envelopes(human_review(to_review, at), "narrator", REVIEW, at, F.array("risk_verdict_msg_id"))
+            store_findings(reviews, table, f"{name}-review")
             told = parse_responses(tell(to_brief)).withColumn("start_id", F.col("msg_id"))
-            closure = lineage(stored, told.select("start_id"))
-            rows = told.join(token_names(closure, stored), "start_id").join(
-                model_attribution(closure, stored, told.select("start_id", "model_used")), "start_id"
+            closure = cut_plan(kept_lineage(told.select("start_id"), findings_index(table).lookup))
+            models = model_attribution(
+                closure.select("start_id", "msg_id"),
+                closure.select("msg_id", "model_used").distinct(),
+                told.select("start_id", "model_used"),
             )
-            briefs = build_brief(rows, at)
-            store_findings(
-                build_envelopes(briefs, "narrator", BRIEF, at, F.array("verdict_id"), F.col("model_used")), table
+            rows = told.join(kept_names(closure), "start_id").join(models, "start_id")
+            briefs = build_envelopes(
+                build_brief(rows, at), "narrator", BRIEF, at, F.array("verdict_id"), F.col("model_used")
             )
+            store_findings(briefs, table, f"{name}-brief")
         finally:
             sealed.unpersist()
 

@@ -7,6 +7,7 @@ repeats an unfinished one; the sinks ignore ids they already hold.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -57,6 +58,11 @@ def start(writer: DataStreamWriter, continuous: bool = False, every: str = BLOCK
         conf.set(EMPTY_BATCHES, before)
 
 
+def named(checkpoint: str, batch_id: int) -> str:
+    """A name of a batch that no other query has: checkpoints tell queries apart."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{batch_id}"
+
+
 def dedup_launches(candidates: DataFrame, ts: str = "launch_ts", window_s: int = 86_400) -> DataFrame:
     """One candidate per address and ``window_s`` seconds of ``ts``.
 
@@ -112,7 +118,7 @@ def store_valid(
                     "model_used": strip(F.col("model_used")),
                 }
             )
-            store_findings(good, table)
+            store_findings(good, table, named(checkpoint, batch_id))
             bad.write.mode("overwrite").json(f"{dead_letters}/batch={batch_id}")
         finally:
             checked.unpersist()

@@ -6,10 +6,12 @@ import time
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from launchsift.functions import schemas
-from launchsift.operators import envelope, risk
-from launchsift.sources import readers, sinks
+from launchsift.operators import envelope, lineage, risk
+from launchsift.sources import files as files_of
+from launchsift.sources import keyed, readers, sinks
 from launchsift.streaming import decide, jobs, pairing
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -134,10 +136,10 @@ def test_stream_storing_with_dead_letters_and_replay(spark, tmp_path):
         stream = readers.read_envelopes(spark, source, stream=True, files_per_trigger=1)
         jobs.store_valid(stream, table, dead, str(tmp_path / checkpoint)).awaitTermination()
 
-    sinks.write_envelopes(envelopes(spark, range(10)), source)
+    sinks.write_envelopes(envelopes(spark, range(10)).coalesce(1), source)
     (tmp_path / "in" / "bad.txt").write_text("not json\n" + json.dumps({"msg_id": "x", "payload": {}}) + "\n")
     go("one")
-    sinks.write_envelopes(envelopes(spark, range(5, 15)), source)
+    sinks.write_envelopes(envelopes(spark, range(5, 15)).coalesce(1), source)
     go("one")
     go("one")
     assert sinks.read_findings(spark, table).count() == 15
@@ -167,14 +169,82 @@ def test_deliveries_are_not_repeated(spark, tmp_path):
     assert sinks.read_sent(spark, out, before=1).count() == 3
 
 
-def test_store_reads_the_agents_of_the_batch(spark, tmp_path):
+def rows_scanned(spark):
+    """Rows that all scans of this session have read so far."""
+    none, gateway = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(k).inputRecords() for k in range(stages.size()))
+
+
+def test_keyed_tables_read_what_is_asked(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.LongType())])
+    table = keyed.Keyed(str(tmp_path / "k"), "id", schema, ("v",), slots=4, waiting=4, small=3)
+    model, costs = {}, []
+    for batch in range(34):
+        ids = range(batch * 4000, batch * 4000 + 4000)
+        model |= {str(i): i for i in ids} | {"again": batch}
+        rows = spark.range(ids[0], ids[-1] + 1, 1, 1).select(F.col("id").cast("string").alias("id"), F.col("id").alias("v"))
+        table.put(rows.union(spark.createDataFrame([("again", batch)], schema)).coalesce(1), f"b{batch}")
+        if batch in (8, 33):
+            before = rows_scanned(spark)
+            asked = spark.createDataFrame([("7",), ("again",), (None,), ("none",)], "id string")
+            got = {r.id: r.v for r in table.lookup(asked).collect()}
+            costs.append(rows_scanned(spark) - before)
+            assert got == {"7": 7, "again": batch}
+    assert costs[1] <= 1.5 * costs[0] < 40_000
+    assert {r.id: r.v for r in table.rows(spark).collect()} == model
+    files = [len(files_of.listed(spark, slot)) for slot, _ in files_of.listed(spark, f"{table.path}/sorted")]
+    assert len(files) == 4 and max(files) <= 4 and len(files_of.listed(spark, f"{table.path}/waiting")) < 4
+    # Many keys at once; a batch does not see itself, and what it puts again replaces what it had put.
+    many = spark.createDataFrame([(str(i),) for i in range(0, 136_000, 400)], "id string")
+    assert {r.id: r.v for r in table.lookup(many).collect()} == {str(i): i for i in range(0, 136_000, 400)}
+    assert [r.v for r in table.lookup(asked, "b33").filter("id = 'again'").collect()] == [32]
+    table.put(spark.createDataFrame([("again", 99)], schema), "b34")
+    table.put(spark.createDataFrame([("new", 1)], schema), "b34")
+    assert {r.id for r in table.lookup(spark.createDataFrame([("again",), ("new",)], "id string")).filter("v = 33 or v = 1").collect()} == {"again", "new"}
+
+
+def test_storing_one_agents_long_history(spark, tmp_path, monkeypatch):
+    """What a batch reads does not follow what its agent has stored."""
+    monkeypatch.setattr(keyed, "PAGE", ("parquet.page.row.count.limit", "50"))
+    table, costs = str(tmp_path / "t"), []
+    for size, numbers in ((300, range(300)), (3000, range(300, 3300))):
+        sinks.store_findings(envelopes(spark, numbers), table, f"h{size}")
+        before = rows_scanned(spark)
+        sinks.store_findings(envelopes(spark, [1, 2, 10_000 + size]), table, f"b{size}")
+        costs.append(rows_scanned(spark) - before)
+    stored = sinks.read_findings(spark, table)
+    assert stored.count() == stored.select("msg_id").distinct().count() == 3302
+    assert costs[1] <= costs[0] + 1000  # some pages, not the 3,000 new entries
+    asked = envelopes(spark, [5, 10_300]).select("msg_id")
+    assert sinks.find_findings(asked, table).count() == 2
+    # A batch that stops between table and index leaves nothing double when it comes again.
+    files_of.remove(spark, sinks.findings_index(table).path + "/waiting/batch=b3000")
+    sinks.store_findings(envelopes(spark, [1, 2, 13_000]), table, "b3000")
+    assert sinks.read_findings(spark, table).count() == 3302
+
+
+def test_kept_lineage_equals_the_walk(spark, rows, tmp_path):
+    rng = random.Random(14)
+    names = [f"F{i:025d}" for i in range(60)]
+    # Edges point to earlier findings, some to unknown ones; one pair forms a cycle.
+    data = [(m, "risk", rng.sample(names[max(0, i - 8) : i], min(i, rng.choice([0, 1, 1, 2]))) + (["lost"] if i % 9 == 0 else []),
+             "h", json.dumps({"token_name": rng.choice(["", "A", "B"])} if i % 3 else {}), "2026-01-01T00:00:00Z",
+             rng.choice([None, "lab/a", "lab/b"])) for i, m in enumerate(names)]
+    data[3][2].append(names[4])
+    data[4][2].append(names[3])
+    order = ["msg_id", "agent", "upstream_ids", "payload_hash", "payload", "created_at", "model_used"]
+    df = spark.createDataFrame(data, ", ".join(f"{c} {'array<string>' if c == 'upstream_ids' else 'string'}" for c in order))
     table = str(tmp_path / "t")
-    sealed = envelopes(spark, range(20))
-    sinks.store_findings(sealed.withColumn("agent", F.lit("chain")), table)
-    sinks.store_findings(sealed, table)
-    sinks.store_findings(sealed, table)
-    counts = {r.agent: r["count"] for r in sinks.read_findings(spark, table).groupBy("agent").count().collect()}
-    assert counts == {"chain": 20, "hunter": 20}
+    shuffled = rng.sample(names, len(names))  # children before their parents, parents in the same batch
+    for k in range(3):
+        sinks.store_findings(df.filter(F.col("msg_id").isin(shuffled[k * 20 : k * 20 + 20])), table, f"b{k}")
+    starts = spark.createDataFrame([(m,) for m in [*names, "lost"]], "start_id string")
+    kept = lineage.cut_plan(lineage.kept_lineage(starts, sinks.findings_index(table).lookup))
+    walked = lineage.cut_plan(lineage.lineage(df, starts))
+    assert rows(kept, "start_id", "msg_id", "depth") == rows(walked, "start_id", "msg_id", "depth")
+    assert rows(lineage.kept_names(kept)) == rows(lineage.token_names(walked, df))
 
 
 def test_pairs_become_verdicts_briefs_and_reviews(spark, tmp_path):
