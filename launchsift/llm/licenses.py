@@ -150,8 +150,11 @@ def document_grams(docs: DataFrame, sizes: list[int]) -> DataFrame:
 def voted_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, key, template, first, last, votes): spans whose diagonals have enough votes.
 
-    ``first`` and ``last`` are the words of the document that the span covers.  Base phrases
-    stand on one diagonal with all their grams; other templates tolerate NEIGHBOURS.
+    ``first`` and ``last`` are the words of the document that the span covers, ``votes`` the
+    distinct places of the template that voted.  Base phrases stand on one diagonal with all
+    their grams; other templates tolerate NEIGHBOURS, but fewer than they have words.  A span
+    holds one diagonal with enough votes of its own at most, so a notice that is repeated
+    gives a span each time.
     """
     spark = docs.sparkSession
     grams = template_grams(spark, templates)  # bounded by the templates, so it is broadcast
@@ -163,7 +166,7 @@ def voted_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         .withColumn("diagonal", F.col("pos") - F.col("place"))
         .groupBy("doc_id", "key", "template", "diagonal")
         .agg(
-            F.count_distinct("place").alias("votes"),
+            F.collect_set("place").alias("places"),
             F.min("place").alias("low"), F.max(F.col("place") + F.col("k")).alias("high"),
         )
     )
@@ -173,21 +176,27 @@ def voted_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     )
     grams_of = grams.groupBy("template").agg(F.count(F.lit(1)).alias("grams"))
     need = F.broadcast(need.join(grams_of, "template"))
-    along = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
+    span = ["doc_id", "key", "template"]
+    along = Window.partitionBy(*span).orderBy("diagonal")
+    within = Window.partitionBy(*span, "stretch").orderBy("diagonal").rowsBetween(Window.unboundedPreceding, 0)
     apart = F.col("diagonal") - F.lag("diagonal").over(along)
-    reach = F.when(F.col("share") == 1.0, 0).otherwise(NEIGHBOURS)
+    # A template repeated back to back lies a template's length apart.
+    reach = F.when(F.col("share") == 1.0, 0).otherwise(F.least(F.lit(NEIGHBOURS), F.col("words") - 1))
+    enough = F.col("share") * F.col("grams")
     return (
         votes.join(need, "template")
         .withColumn("new", F.when(apart <= reach, 0).otherwise(1))
-        .withColumn("band", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .groupBy("doc_id", "key", "template", "band", "share", "grams")
+        .withColumn("stretch", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        # A diagonal with enough votes is a place of the template; the next one is another place.
+        .withColumn("strong", F.count(F.when(F.size("places") >= enough, 1)).over(within))
+        .groupBy(*span, "stretch", F.greatest("strong", F.lit(1)).alias("strong"), "share", "grams")
         .agg(
-            F.sum("votes").alias("votes"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"),
             F.min(F.col("diagonal") + F.col("low")).alias("first"),
             (F.max(F.col("diagonal") + F.col("high")) - 1).alias("last"),
         )
-        .filter(F.col("votes") >= F.col("share") * F.col("grams"))
-        .select("doc_id", "key", "template", "first", "last", "votes")
+        .filter(F.col("votes") >= enough)
+        .select(*span, "first", "last", "votes")
     )
 
 

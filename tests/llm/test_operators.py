@@ -1,5 +1,6 @@
 """The operators on awkward rows and small tables, against plain Python models."""
 
+import difflib
 import hashlib
 import math
 import random
@@ -437,6 +438,63 @@ def test_license_with_changes(spark):
     assert labels[1] == {("mit-terms", 7)} and labels[2] == set()
 
 
+def license_model(text):
+    """Spans by plain loops over the words: votes, bands, verification."""
+    w, out = WORD.findall(lower(text)), []
+    for t in licenses.TEMPLATES:
+        want = WORD.findall(lower(t.text))
+        k = 2 if t.exact and len(want) > 2 else min(licenses.GRAM, len(want))
+        places = {}
+        for i in range(len(w) - k + 1):
+            for p in range(len(want) - k + 1):
+                if w[i : i + k] == want[p : p + k]:
+                    places.setdefault(i - p, set()).add(p)
+        need = (1.0 if t.exact else licenses.VOTES) * (len(want) - k + 1)
+        reach = 0 if t.exact else min(licenses.NEIGHBOURS, len(want) - 1)
+        bands, before = [], None
+        for d in sorted(places):
+            strong = len(places[d]) >= need
+            if before is None or d - before > reach or (strong and any(len(places[x]) >= need for x in bands[-1])):
+                bands.append([])
+            bands[-1].append(d)
+            before = d
+        for band in bands:
+            if len(set().union(*(places[d] for d in band))) >= need:
+                first, last = min(d + min(places[d]) for d in band), max(d + max(places[d]) + k for d in band)
+                part = w[first:last]
+                blocks = difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks()
+                share = float(part == want) if t.exact else round(sum(b.size for b in blocks) / max(len(want), len(part)), 6)
+                if share >= licenses.VERIFIED:
+                    out.append((first, t.label, last - 1, share))
+    return sorted(out)
+
+
+def test_licenses_equal_plain_spans(spark):
+    r = random.Random(31)
+    texts = [""]
+    for t in licenses.TEMPLATES:
+        for times in (1, 2, 6):
+            texts.append(" ".join([t.text] * times))
+            texts.append(f"{sentence(times, 9)} " + f" {sentence(1, 1)} ".join([t.text] * times) + " end")
+        for _ in range(6):
+            words = t.text.split() * r.choice([1, 2, 3])
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(words))
+                words[at : at + r.choice([0, 1, 2])] = r.choice([[], ["new"], ["the", "license"]])
+                words = words or ["gone"]
+            texts.append(" ".join(words))
+    every = [t.text for t in licenses.TEMPLATES]
+    texts += [" ".join(r.choice(every) for _ in range(5)) for _ in range(10)]
+    found = listed(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")))
+    got = {x["doc_id"]: [(s["first"], s["label"], s["last"], s["score"]) for s in x["spans"]] for x in found}
+    for i, text in enumerate(texts):
+        assert got[i] == license_model(text), text
+    for t in licenses.TEMPLATES:
+        for times in (1, 2, 6):
+            here = [s for s in license_model(" ".join([t.text] * times)) if s[1] == t.label]
+            assert len(here) == times and all(s[3] == 1.0 for s in here)
+
+
 # ----------------------------------------------------------------------------------- sharding
 
 
