@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from launchsift.functions.schemas import ENVELOPE, FINDING, TEXT, struct
+from launchsift.functions.schemas import ENVELOPE, FINDING, LONG, TEXT, TIME, struct
 from launchsift.operators.envelope import append_findings
 from launchsift.operators.lineage import ABOVE, MISSING, closures
 from launchsift.sources.files import exists
@@ -128,6 +128,33 @@ def find_findings(asked: DataFrame, path: str) -> DataFrame:
     return stored.drop("stored_by").join(asked.select("msg_id").distinct(), "msg_id", "left_semi")
 
 
+def receipts_of(path: str) -> Keyed:
+    """The receipts of a findings table; of several for an id the last one seen counts."""
+    receipt = struct(msg_id=TEXT, on_chain_tx=TEXT, on_chain_block=LONG, seen_at=TIME)
+    return Keyed(f"{path.rstrip('/')}_receipts", "msg_id", receipt, ("seen_at", "on_chain_block", "on_chain_tx"))
+
+
+def store_receipts(receipts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Writes back (msg_id, on_chain_tx, on_chain_block, seen_at) of anchored findings.
+
+    The findings stay as they are; the last receipt seen of an id wins when they are read.  The
+    same batch again replaces its receipts.
+    """
+    table = receipts_of(path)
+    given = receipts.filter("msg_id is not null").select(*[f.name for f in table.schema.fields])
+    table.put(given, batch or uuid.uuid4().hex)
+
+
+def with_receipts(findings: DataFrame, path: str) -> DataFrame:
+    """Stored findings with the transaction and block of their last receipt.
+
+    For some findings, such as those of ``find_findings``, only their receipts are looked up;
+    pass ``read_findings`` for all.
+    """
+    latest = receipts_of(path).lookup(findings).drop("seen_at")
+    return findings.drop("on_chain_tx", "on_chain_block").join(latest, "msg_id", "left")
+
+
 def audited(calls: DataFrame) -> DataFrame:
     """Audit rows of model calls; failed calls carry zero tokens and cost."""
     failed = ~F.col("success")

@@ -23,7 +23,8 @@ def pair_exact(signals: DataFrame, timeout_s: int = PAIR_TIMEOUT_S, idle_s: floa
     arrives first; otherwise the older of them becomes a partial result.  Of two halves of
     the same side the newer one waits on.  A half that meets no partner for ``idle_s``
     seconds by the clock (the timeout, unless given) becomes partial too.  Where rows arrive
-    in order this equals the batch form.
+    in order this equals the batch form.  A half without token or time can meet no partner and
+    becomes partial at once; rows of neither side are left out.
     """
     limit = timeout_s * 1_000_000
     idle_ms = int(1000 * (timeout_s if idle_s is None else idle_s))
@@ -38,7 +39,9 @@ def pair_exact(signals: DataFrame, timeout_s: int = PAIR_TIMEOUT_S, idle_s: floa
     ) -> Iterator[pd.DataFrame]:
         token, out = key[0], []
         waiting = state.get if state.exists else None
-        if state.hasTimedOut:
+        if key[1] is not None:
+            out = [half(token, *row) for part in batches for row in zip(part["side"], part["msg_id"])]
+        elif state.hasTimedOut:
             out.append(half(token, waiting[0], waiting[1]))
             state.remove()
         else:
@@ -65,8 +68,14 @@ def pair_exact(signals: DataFrame, timeout_s: int = PAIR_TIMEOUT_S, idle_s: floa
         )
 
     return (
-        signals.select("token_address", "side", "msg_id", F.unix_micros("ts").alias("at"))
-        .groupBy("token_address")
+        signals.filter(F.col("side").isin("social", "chain"))
+        .select(
+            "token_address", "side", "msg_id",
+            F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("at"),
+            # Alone under its own id: no state is kept for it.
+            F.when(F.col("token_address").isNull() | F.col("ts").isNull(), F.coalesce("msg_id", F.lit(""))).alias("alone"),
+        )
+        .groupBy("token_address", "alone")
         .applyInPandasWithState(
             step, PAIRS, WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout
         )

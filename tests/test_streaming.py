@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from launchsift.functions import schemas
-from launchsift.operators import envelope, lineage, risk
+from launchsift.operators import delivery, envelope, lineage, risk
 from launchsift.sources import files as files_of
 from launchsift.sources import keyed, readers, sinks
 from launchsift.streaming import decide, jobs, pairing
@@ -123,6 +123,78 @@ def test_launch_dedup(spark, tmp_path):
     assert [(a, round(h)) for a, h in got] == [("a", 0), ("a", 101), ("b", 0), ("c", 100), ("d", 2), ("d", 100), ("e", 0)]
 
 
+def test_rows_without_time_or_token(spark, rows, tmp_path):
+    kind = "token_address string, launch_ts timestamp"
+    source = str(tmp_path / "launches")
+    spark.createDataFrame([("a", at(0)), ("a", None), (None, at(5)), ("a", at(86_400))], kind).coalesce(1).write.parquet(source)
+    stream = lambda: spark.readStream.schema(kind).parquet(source)
+    out = drain(jobs.dedup_launches(stream()), spark, tmp_path / "o", tmp_path / "c")
+    assert out.count() == 2 and {r.token_address for r in out.collect()} == {"a"}
+    dead = drain(jobs.without_time(stream()), spark, tmp_path / "d", tmp_path / "e")
+    assert dead.count() == 2
+    halves = [("s1", "a", "social", at(0)), ("c0", "a", "chain", None), ("c1", "a", "chain", at(9)), ("s2", None, "social", at(0)),
+              ("c2", None, "chain", at(1)), (None, "b", "social", None), ("x", "b", "other", at(0)), ("s3", "b", "social", None)]
+    source = str(tmp_path / "signals")
+    spark.createDataFrame(halves, SIGNALS).coalesce(1).write.parquet(source)
+    got = drain(pairing.pair_exact(spark.readStream.schema(SIGNALS).parquet(source)), spark, tmp_path / "p", tmp_path / "q")
+    assert rows(got) == sorted(
+        [("a", "s1", "c1", None), ("a", None, "c0", "social"), (None, "s2", None, "chain"), (None, None, "c2", "social"),
+         ("b", None, None, "chain"), ("b", "s3", None, "chain")], key=repr
+    )
+
+
+def test_failing_messages_are_counted_and_the_rest_proceeds(spark, tmp_path):
+    kind, source = "msg_id string, n int", str(tmp_path / "in")
+    paths = [str(tmp_path / x) for x in ("dead", "waiting", "cp")]
+    fail_until = {"bad": 99, "slow": 2}  # attempts that raise
+    tried = {}
+
+    def work(part, name):
+        ids = [r.msg_id for r in part.collect()]
+        for i in ids:
+            if i in fail_until and tried.get(i, 0) < fail_until[i] and len(ids) == 1:
+                tried[i] = tried.get(i, 0) + 1
+                raise ValueError(f"cannot do {i}")
+            if i in fail_until and tried.get(i, 0) < fail_until[i]:
+                raise ValueError("cannot do them all")
+        part.write.mode("overwrite").parquet(f"{tmp_path}/out/part={name}")
+
+    def done():
+        return sorted(r.msg_id for r in spark.read.schema(kind).parquet(f"{tmp_path}/out").collect())
+
+    def go(ids):
+        spark.createDataFrame([(i, 1) for i in ids], kind).coalesce(1).write.mode("append").parquet(source)
+        query = jobs.retried(spark.readStream.schema(kind).parquet(source), work, *paths, attempts=3)
+        assert query.awaitTermination(120) and query.exception() is None
+
+    go(["a", "bad", "b", "slow", "c", "d"])
+    assert done() == ["a", "b", "c", "d"]
+    go(["e"])  # each run is a restart; both are tried a second time
+    assert done() == ["a", "b", "c", "d", "e"] and tried == {"bad": 2, "slow": 2}
+    go(["f"])
+    assert done() == ["a", "b", "c", "d", "e", "f", "slow"]
+    dead = [r.asDict() for r in spark.read.json(paths[0]).collect()]
+    assert [(r["msg_id"], r["attempts"], "cannot do bad" in r["error"]) for r in dead] == [("bad", 3, True)]
+    go(["g"])
+    assert done()[-2:] == ["g", "slow"] and tried["bad"] == 3
+
+
+def test_receipts_are_written_back(spark, tmp_path):
+    table, kind = str(tmp_path / "t"), "msg_id string, on_chain_tx string, on_chain_block bigint, seen_at timestamp"
+    sealed = envelopes(spark, range(3))
+    sinks.store_findings(sealed, table)
+    ids = sorted(r.msg_id for r in sealed.collect())
+    everything = lambda: {r.msg_id: (r.on_chain_tx, r.on_chain_block) for r in sinks.with_receipts(sinks.read_findings(spark, table), table).collect()}
+    assert everything() == dict.fromkeys(ids, (None, None))
+    first = spark.createDataFrame([(ids[0], "x", 9, at(0)), (ids[1], "y", 1, at(0)), (ids[1], "z", 2, at(5)), (None, "n", 1, at(0))], kind)
+    for _ in range(2):  # a replay changes nothing
+        sinks.store_receipts(first, table, "b0")
+        assert everything() == {ids[0]: ("x", 9), ids[1]: ("z", 2), ids[2]: (None, None)}
+    sinks.store_receipts(spark.createDataFrame([(ids[0], "w", 3, at(9))], kind), table, "b1")
+    one = sinks.with_receipts(sinks.find_findings(sealed.filter(F.col("msg_id") == ids[0]), table), table).first()
+    assert (one.on_chain_tx, one.on_chain_block) == ("w", 3)
+
+
 def envelopes(spark, numbers):
     data = [("0x" + f"{n:040d}", "2026-01-01T00:00:00Z", "0x" + "2" * 40, f"T{n}", "S", 1.5, "https://x") for n in numbers]
     rows = spark.createDataFrame(data, schemas.CANDIDATE)
@@ -169,6 +241,25 @@ def test_deliveries_are_not_repeated(spark, tmp_path):
     assert sinks.read_sent(spark, out, before=1).count() == 3
 
 
+def test_delivery_memory_equals_batch(spark, tmp_path):
+    """Chats fall silent for longer and shorter than their memory; messages come again."""
+    rng, out, kind = random.Random(17), str(tmp_path / "out"), "msg_id string, conviction_tier string"
+    subs = spark.createDataFrame([(c, t, True) for c, t in enumerate(["degen", "moderate", "high"])], "chat_id int, threshold string, active boolean")
+    days = [0, 3, 9, 17, 18, 24, 40]
+    now = lambda k: F.lit(START + timedelta(days=days[k])).cast("timestamp")
+    sent = spark.createDataFrame([], "msg_id string, chat_id int, sent_at timestamp")
+    for k in range(len(days)):
+        rows = [(f"m{rng.randint(0, 4)}", rng.choice(["degen", "moderate", "high"])) for _ in range(2)]
+        batch = spark.createDataFrame(rows, kind)
+        due = delivery.undelivered(delivery.match_threshold(batch, subs).distinct(), sent, now(k)).withColumn("sent_at", now(k))
+        sent = lineage.cut_plan(sent.unionByName(due.select("msg_id", "chat_id", "sent_at")))
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        jobs.deliver(stream, lambda: subs, out, str(tmp_path / "cp"), now=now).awaitTermination()
+        seen = lambda df: sorted((r.msg_id, r.chat_id, r.sent_at) for r in df.collect())
+        assert seen(sinks.read_sent(spark, out)) == seen(sent)
+
+
 def rows_scanned(spark):
     """Rows that all scans of this session have read so far."""
     none, gateway = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway
