@@ -28,6 +28,11 @@ WINDOW = 10
 #: Rarest terms of a phrase whose posting lists are stored and intersected first.
 ANCHORS = 2
 
+#: Words by which a term of a near phrase may be out of place, and the share that may be missing.
+NEAR, MISSING = 1, 0.2
+#: Words of a block in which near phrases are looked at.
+BLOCK = 64
+
 KEY = ["doc_id", "key"]
 
 
@@ -131,44 +136,75 @@ def exact_matches(docs: DataFrame, phrase_terms: DataFrame, anchors: int = ANCHO
     )
 
 
-def proximity_matches(docs: DataFrame, phrase_terms: DataFrame, within: int, least: int, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, key, phrase, start, met): places where at least ``least`` distinct terms of a
-    phrase stand within ``within`` words of where the phrase would put them.
+def proximity_matches(docs: DataFrame, phrase_terms: DataFrame, within: int = NEAR, missing: float = MISSING) -> DataFrame:
+    """(doc_id, key, phrase, start, met, terms): places where at most ``missing`` of a phrase's
+    distinct terms do not stand within ``within`` words of where the phrase would put them.
 
-    A place is proposed by one of the phrase's ``anchors`` rarest terms.  With ``within`` 0
-    and ``least`` the phrase length this is the exact match.
+    ``met`` of the phrase's ``terms`` distinct terms are near; ``start`` may lie before the
+    text's first word by ``within``.  Of a phrase that may miss k terms, any k + 1 contain one
+    that is met: the rarest k + 1 propose the places, each posting every start from which it
+    would be near, so no place is lost.  With ``within`` 0 and ``missing`` 0 the places are the
+    exact ones, but that terms may change places with equal ones.  Null, empty and wordless
+    texts hold no place; repeated rows count once and tell the same.
     """
-    vocabulary = small_or_shuffled(written(phrase_terms.select("term").distinct(), "vocabulary"))
-    stored = written(postings(docs, vocabulary).distinct(), "postings")
-    counts = stored.groupBy("term").agg(F.count(F.lit(1)).alias("places"))
-    rarest = Window.partitionBy("phrase").orderBy("places", "off")
-    anchor = (
-        phrase_terms.join(counts, "term")
-        .withColumn("rank", F.row_number().over(rarest))
-        .filter(F.col("rank") <= anchors)
-        .select("phrase", "term", "off")
+    vocabulary = written(phrase_terms.select("term").distinct(), "vocabulary")
+    spread = small_or_shuffled(vocabulary)
+    counts = written(term_counts(docs, spread), "term-counts")
+    each = Window.partitionBy("phrase")
+    distinct = phrase_terms.select("phrase", "term").distinct().join(counts, "term", "left")
+    allowed = F.floor(F.count(F.lit(1)).over(each) * F.lit(missing)).cast("int")
+    ranked = (
+        distinct.withColumn("terms", F.count(F.lit(1)).over(each).cast("int"))
+        .withColumn("left", allowed - F.count(F.when(F.col("places").isNull(), 1)).over(each).cast("int"))
+        # Terms that no text holds use up what may be missing.
+        .filter("left >= 0 and places is not null")
+        .withColumn("rank", F.row_number().over(each.orderBy("places", "term")))
     )
+    anchor = written(
+        ranked.filter(F.col("rank") <= F.col("left") + 1).select("phrase", "term", "terms").join(phrase_terms, ["phrase", "term"])
+        .select("phrase", "term", "off", "terms"),
+        "near-anchors",
+    )
+    stored = written(
+        postings(docs, small_or_shuffled(written(anchor.select("term").distinct(), "anchor-terms"))).distinct(), "postings"
+    )
+    shift = F.explode(F.sequence(F.lit(-within), F.lit(within)))
     starts = (
         stored.join(anchor, "term")
-        .select(*KEY, "phrase", (F.col("pos") - F.col("off")).alias("start"))
+        .select(*KEY, "phrase", "terms", (F.col("pos") - F.col("off")).alias("at"))
+        .distinct()
+        .select(*KEY, "phrase", "terms", shift.alias("by"), "at")
+        .select(*KEY, "phrase", "terms", (F.col("at") + F.col("by")).alias("start"))
         .distinct()
     )
-    near = (
-        starts.join(phrase_terms, "phrase")
-        .select(*KEY, "phrase", "start", "term", F.explode(F.sequence(
-            F.col("start") + F.col("off") - within, F.col("start") + F.col("off") + within)).alias("pos"))
+    # A phrase as one row: its terms with the places around each of them, counted from the start.
+    shapes = phrase_terms.groupBy("phrase").agg(F.max("n").alias("n"), F.collect_list(F.struct("term", "off")).alias("shape"))
+    asked = starts.join(shapes, "phrase").withColumn("block", F.floor(F.col("start") / BLOCK).cast("int"))
+    # Every block also holds what a phrase that starts in it can reach.
+    reach = phrase_terms.agg(F.max("n")).first()[0] or 0
+    tokens = words(F.col("text"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), tokens.alias("w")).filter(F.size("w") > 0).distinct()
+    begin = F.greatest(F.col("block") * BLOCK - within, F.lit(0))
+    length = F.greatest((F.col("block") + 1) * BLOCK + reach + within - begin, F.lit(0))
+    blocks = rows.select(
+        F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), "w",
+        F.explode(F.sequence(F.lit(-1), F.floor(F.size("w") / BLOCK).cast("int"))).alias("b_no"),
+    ).withColumn("block", F.col("b_no")).select(
+        "b_id", "b_key", "b_no", begin.alias("begin"), F.slice("w", begin + 1, length).alias("part")
     )
-    at = stored.select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), F.col("pos").alias("p_pos"), F.col("term").alias("p_term"))
+    here = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")) & (F.col("block") == F.col("b_no"))
+    first = F.col("start") - F.col("begin") - within
+
+    def near(item):
+        low = first + item["off"]
+        from_, to = F.greatest(low, F.lit(0)), low + 2 * within
+        return F.array_contains(F.slice("part", from_ + 1, F.greatest(to - from_ + 1, F.lit(0))), item["term"])
+
+    met = F.size(F.array_distinct(F.transform(F.filter("shape", near), lambda item: item["term"])))
     return (
-        near.join(
-            at,
-            F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key"))
-            & (F.col("pos") == F.col("p_pos")) & (F.col("term") == F.col("p_term")),
-            "left_semi",
-        )
-        .groupBy(*KEY, "phrase", "start")
-        .agg(F.count_distinct("term").alias("met"))
-        .filter(F.col("met") >= least)
+        asked.join(blocks, here)
+        .select(*KEY, "phrase", "start", met.alias("met"), "terms")
+        .filter(F.col("met") >= F.col("terms") - F.floor(F.col("terms") * F.lit(missing)))
     )
 
 

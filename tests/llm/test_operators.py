@@ -122,14 +122,45 @@ def test_contamination(spark, docs, none):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t in TEXTS if not contaminated(t)[1])
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "aa bb xx cc dd"), (2, "dd cc bb aa"), (3, "aa bb cc dd"), (4, None)], "doc_id int, text string")
-    terms, _ = decontaminate.benchmark_phrases(spark.createDataFrame([(1, "aa bb cc dd")], "item_id int, text string"))
-    exact = decontaminate.proximity_matches(docs, terms, 0, 4)
-    near = decontaminate.proximity_matches(docs, terms, 1, 4)
-    assert {r.doc_id for r in exact.collect()} == {3}
-    assert {r.doc_id for r in near.collect()} == {1, 3}
-    assert {r.doc_id for r in decontaminate.exact_matches(docs, terms).collect()} == {3}
+def near_model(text, phrase, within, missing):
+    w, terms = WORD.findall(lower(text)), set(phrase)
+    out = {}
+    for start in range(-within - len(phrase), len(w) + within):
+        met = {t for i, t in enumerate(phrase) if t in w[max(0, start + i - within) : max(0, start + i + within + 1)]}
+        if len(met) >= len(terms) - int(len(terms) * missing + 1e-9):
+            out[start] = len(met)
+    return out
+
+
+def test_proximity_equals_plain_search(spark):
+    r = random.Random(44)
+    items = [(1, "aa bb cc dd ee ff gg hh ii jj kk"), (2, "one two one two three"), (3, "solo"), (4, None), (5, "absent words here nowhere found")]
+    base = items[0][1].split()
+    texts = ["x1 x2 cc dd ee ff gg hh ii jj", "x1 " + items[0][1], None, "", "-", "solo solo", "absent words here nowhere", items[0][1]]
+    for _ in range(60):
+        words = (["pad"] * r.randint(0, 70) + base[r.randint(0, 1) :] + sentence(r.randint(0, 9), 3).split()) * r.choice([1, 2])
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(words))
+            words[at : at + r.choice([0, 1, 1, 2])] = r.choice([[], ["new"], ["one", "two"], [r.choice(base)]])
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(7, texts[7], "clash"), (None, texts[1], "clash")], "doc_id int, text string, term string")
+    terms, _ = decontaminate.benchmark_phrases(spark.createDataFrame(items, "item_id int, text string"))
+    phrases = {}
+    for t in terms.collect():
+        phrases.setdefault(t.phrase, {})[t.off] = t.term
+    for within, missing in ((1, 0.2), (0, 0.0), (2, 0.5)):
+        found = Counter((x["doc_id"], x["phrase"], x["start"], x["met"]) for x in listed(decontaminate.proximity_matches(docs, terms, within, missing)))
+        want = Counter()
+        for i, text in [*enumerate(texts), (None, texts[1])]:
+            for name, p in phrases.items():
+                plain = near_model(text, [p[k] for k in range(len(p))], within, missing)
+                want.update({(i, name, start, met): 1 for start, met in plain.items()})
+        assert found == want
+    # Both rare first terms replaced: eight of ten are still in place.
+    first = next(n for n, p in phrases.items() if p[0] == "aa")
+    near = listed(decontaminate.proximity_matches(docs, terms))
+    assert {"doc_id": 0, "phrase": first, "start": 0, "met": 8, "terms": 10}.items() <= next(x for x in near if x["doc_id"] == 0 and x["phrase"] == first and x["start"] == 0).items()
+    assert decontaminate.proximity_matches(docs.limit(0), terms).count() == decontaminate.proximity_matches(docs, terms.limit(0)).count() == 0
 
 
 # ------------------------------------------------------------------------------ secret scans
