@@ -245,7 +245,90 @@ def op11(spark, folder):
 # ----------------------------------------------------------------------------- conversations
 
 
-@query("op12_conversation_repair")
+def _crc(bytes_list: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    return f"""xor(list_reduce(list_concat([4294967295], {bytes_list}),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+    lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+
+def _ascii(text: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+
+
+def _step(*ways: str) -> str:
+    """The least of (cost, edits) after appending edits, as 'state+cost+letter'."""
+    parts = [w.split("+") for w in ways]
+    return f"least({', '.join(f"{{'c': x.{s}.c + {c}, 'e': x.{s}.e || '{e}'}}" for s, c, e in parts)})"
+
+
+_NO_WAY = "{'c': 1000000000000, 'e': ''}"
+# State of the search: n nothing yet, s after system, u after user, a after assistant.  Inserts
+# come first, then the row's own edit; f is its fault, r its role's initial.
+_INSERTED = f"""{{'n': x.n, 's': x.s, 'f': '', 'r': '',
+  'u': {_step("u+0+", "n+3+I", "s+3+I", "a+3+I")}, 'a': {_step("a+0+", "u+3+I", "n+6+II", "s+6+II")}}}"""
+
+
+def _either(*states: str) -> str:
+    """Ways to a user's or assistant's row: rerole from each state, keep where the initial fits."""
+    to = states[0]
+    ways = [f"CASE WHEN f.f < 2 THEN {{'c': x.{q}.c + 3 + 3 * f.f, 'e': x.{q}.e || 'R'}} ELSE {_NO_WAY} END" for q in states[1:]]
+    ways += [
+        f"CASE WHEN f.f < 2 AND f.r = '{to}' THEN {{'c': x.{q}.c + 3 * f.f, 'e': x.{q}.e || 'K'}} ELSE {_NO_WAY} END" for q in states[1:]
+    ]
+    return f"least({{'c': x.{to}.c + 4, 'e': x.{to}.e || 'D'}}, {', '.join(ways)})"
+
+
+OP12_SQL = f"""
+WITH harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc(_ascii("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"))} % 20 AS k
+  FROM conversations),
+fresh AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM harmed, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) AS i,
+  rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare FROM fresh),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS f,
+    left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r_before FROM placed),
+talk AS (
+  SELECT conv_id, list({{'f': f, 'r': r}} ORDER BY i) AS rows, max(i) AS n,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (f = 2) AS blank, count(*) FILTER (f = 3) AS duplicate, count(*) FILTER (f = 1) AS truncated,
+    count(*) FILTER (i > 1 AND r_before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+searched AS (
+  SELECT *, list_reduce(list_concat(
+      [{{'n': {{'c': 0, 'e': ''}}, 's': {_NO_WAY}, 'u': {_NO_WAY}, 'a': {_NO_WAY}, 'f': 0, 'r': ''}}],
+      list_transform(rows, lambda y: {{'n': {_NO_WAY}, 's': {_NO_WAY}, 'u': {_NO_WAY}, 'a': {_NO_WAY}, 'f': y.f, 'r': y.r}})),
+    lambda w, f: list_transform([{_INSERTED.replace("x.", "w.").replace("'f': '', 'r': ''", "'f': 0, 'r': ''")}], lambda x: {{
+      'n': {{'c': x.n.c + 4, 'e': x.n.e || 'D'}},
+      's': least({{'c': x.s.c + 4, 'e': x.s.e || 'D'}}, CASE WHEN f.f < 2 AND f.r = 's' THEN {{'c': x.n.c + 3 * f.f, 'e': x.n.e || 'K'}} ELSE {_NO_WAY} END),
+      'u': {_either("u", "n", "s", "a")}, 'a': {_either("a", "u")}, 'f': 0, 'r': ''}})[1]) AS x
+  FROM talk),
+best AS (SELECT *, least(x.n, {_step("a+0+", "u+3+I", "n+6+II", "s+6+II")}) AS found FROM searched),
+letter AS (
+  SELECT conv_id, p, found.e[p] AS e, len(replace(found.e, 'D', '')) % 2 AS odd FROM best, unnest(range(1, len(found.e) + 1)) AS t(p)),
+counted AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o FROM letter
+  WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+mended AS (
+  SELECT c.conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said
+  FROM counted c LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id AND j.i = c.i WHERE e <> 'D' GROUP BY c.conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(found.c, 0) AS cost,
+  coalesce(found.e, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN mended ON mended.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
 def op12(spark, folder):
     original = table(spark, folder, "conversations")
     rows = conversations.damage(original)
@@ -253,18 +336,11 @@ def op12(spark, folder):
     return conversations.repaired_digests(rows, audited)
 
 
-# CRC-32 of the decimal digits of c, bit by bit.
-_CRC = """
-xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
-  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
-    lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)
-"""
-
 OP13_SQL = f"""
 WITH own AS (
   SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS w
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-led AS (SELECT c, w, c - c % 5 AS base, CAST({_CRC} % 9 AS BIGINT) AS h FROM own),
+led AS (SELECT c, w, c - c % 5 AS base, CAST({_crc(_ascii('CAST(c AS VARCHAR)'))} % 9 AS BIGINT) AS h FROM own),
 seq AS (
   SELECT led.c, list_concat(coalesce(list_slice(own.w, 1, h), []), list_slice(led.w, h + 1, len(led.w))) AS s
   FROM led LEFT JOIN own ON own.c = led.base),
