@@ -94,7 +94,16 @@ def decide(
     of them; neither grows with the table.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(paired: DataFrame, batch_id: int) -> None:
+        # Kept, as every further reading would run the pairing's state again.
+        batch = paired.persist()
+        try:
+            if not batch.isEmpty():
+                settle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
         at, name = now(batch_id), named(checkpoint, batch_id)
         halves = [batch.select(F.col(f"{side}_id").alias("msg_id")) for side in ("social", "chain")]
         asked = halves[0].unionByName(halves[1]).filter("msg_id is not null")

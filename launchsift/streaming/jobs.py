@@ -44,18 +44,21 @@ def run(
     Without ``continuous`` it processes what is there and stops.
     """
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
-    return start(writer, continuous, every)
+    return start(writer, continuous, every, stream.sparkSession)
 
 
-def start(writer: DataStreamWriter, continuous: bool = False, every: str = BLOCK) -> StreamingQuery:
+def start(
+    writer: DataStreamWriter, continuous: bool = False, every: str = BLOCK, spark: SparkSession | None = None
+) -> StreamingQuery:
     """Starts ``writer`` for good or for what is there.
 
     Timers by the clock ask for batches without data, with which a query over what is there
-    would never end; those are left out, and its timers fire with the next data.
+    would never end; those are left out, and its timers fire with the next data.  ``spark`` is
+    the stream's session, if it may not be the active one.
     """
     if continuous:
         return writer.trigger(processingTime=every).start()
-    conf = SparkSession.active().conf
+    conf = (spark or SparkSession.active()).conf
     before = conf.get(EMPTY_BATCHES)
     conf.set(EMPTY_BATCHES, "false")
     try:
