@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from launchsift.llm.common import packed
+from launchsift.llm.common import packed, text_key
 
 #: Hash bits that enter a score; 52 fit a double exactly.
 BITS = 52
@@ -78,8 +78,9 @@ def shard_documents(docs: DataFrame, weights: list[float]) -> DataFrame:
         F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, mean]).alias("grown_shard"),
-        F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long").alias("_hash"),
-    ).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
+        # By id and text: rows without id, or with the same one, are numbered in several tasks.
+        F.pmod(F.xxhash64(key, text_key(text)), F.lit(BUCKETS)).cast("int").alias("_bucket"),
+    )
     order = ["doc_id", "text_crc32", "size"]
     return numbered(placed, "shard", "_bucket", order, "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
