@@ -73,13 +73,13 @@ def shard_documents(docs: DataFrame, weights: list[float]) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
+        # By id and text: rows without id, or with the same one, are numbered in several tasks.
+        F.pmod(F.xxhash64("row.doc_id", text_key(text)), F.lit(BUCKETS)).cast("int").alias("_bucket"),
     ).select(
         "*",
         F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, mean]).alias("grown_shard"),
-        # By id and text: rows without id, or with the same one, are numbered in several tasks.
-        F.pmod(F.xxhash64(key, text_key(text)), F.lit(BUCKETS)).cast("int").alias("_bucket"),
     )
     order = ["doc_id", "text_crc32", "size"]
     return numbered(placed, "shard", "_bucket", order, "slot").select(
