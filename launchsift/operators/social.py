@@ -31,33 +31,55 @@ def channel_tail(messages: DataFrame, last_n: int = CHANNEL_TAIL) -> DataFrame:
 
 def _grams(text: Column) -> Column:
     """Distinct runs of one to three characters of a text (overlapping matches)."""
-    runs = [
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
-        for width in range(1, GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+    return F.array_distinct(F.concat(*[_runs(text, width) for width in range(1, GRAM + 1)]))
+
+
+def _runs(text: Column, width: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+
+
+def rarest_grams(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_symbol, _gram): every symbol with that of its own three-character runs which ``grams`` has least often.
+
+    A symbol of up to three characters stands for itself.  Symbols with a run that never occurs
+    are in no text and are left out.  ``grams`` has a row per message and gram; either side is
+    counted by gram alone, so neither symbols nor messages of one gram are gathered.
+    """
+    short = F.length("_symbol") <= GRAM
+    own = wanted.select(
+        "_symbol", F.explode(F.when(short, F.array("_symbol")).otherwise(F.array_distinct(_runs(F.col("_symbol"), GRAM)))).alias("_gram")
+    )
+    counted = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_times"))
+    rated = own.join(counted, "_gram", "left").groupBy("_symbol").agg(
+        F.min(F.struct(F.coalesce("_times", F.lit(0)).alias("times"), "_gram")).alias("_rarest")
+    )
+    return rated.filter("_rarest.times > 0").select("_symbol", F.col("_rarest._gram").alias("_gram"))
 
 
 def match_symbols(messages: DataFrame, symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
     """(symbol, channel, pos, text) where the text contains the symbol, ignoring case.
 
-    Containment becomes an equi-join: a text can contain a symbol only if it contains
-    the symbol's first three characters.  Only message keys travel through the join, the
-    texts themselves are fetched back only for the candidates and then checked exactly.
+    Containment becomes an equi-join: a text can contain a symbol only if it contains the
+    symbol's rarest three-character run (``rarest_grams``), so symbols with a common beginning
+    do not all meet every text that has it.  Only message keys and one symbol each travel
+    through the join, the texts themselves are fetched back only for the candidates and then
+    checked exactly.  Equal messages are one with a number of copies until then.
     """
-    wanted = symbols.select(F.lower(symbol).alias("_symbol")).filter(
-        F.col("_symbol") != ""
-    ).distinct().withColumn("_gram", F.substring("_symbol", 1, GRAM))
-    keyed = messages.withColumn("_text", F.xxhash64("text"))
+    wanted = symbols.select(F.lower(symbol).alias("_symbol")).filter(F.col("_symbol") != "").distinct()
     message = ["channel", "pos", "_text"]
-    grams = keyed.select(*message, F.explode(_grams(F.lower("text"))).alias("_gram"))
     # One row per message, so messages under a repeated position do not multiply.
-    candidates = grams.join(wanted, "_gram").groupBy(*message).agg(F.collect_set("_symbol").alias("_symbols"))
+    keyed = messages.groupBy("channel", "pos", F.xxhash64("text").alias("_text")).agg(
+        F.first("text").alias("text"), F.count(F.lit(1)).alias("_copies")
+    )
+    grams = keyed.select(*message, F.explode(_grams(F.lower("text"))).alias("_gram"))
+    candidates = grams.join(rarest_grams(grams, wanted), "_gram").select(*message, "_symbol")
+    # A null channel or position is a key like any other.
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in message]
     return (
-        candidates.join(keyed, message)
-        .select("channel", "pos", "text", F.explode("_symbols").alias("_symbol"))
-        .filter(F.contains(F.lower("text"), F.col("_symbol")))
-        .select(F.col("_symbol").alias(symbol), "channel", "pos", "text")
+        candidates.alias("k").join(keyed.alias("m"), same)
+        .filter(F.contains(F.lower("m.text"), F.col("_symbol")))
+        .select(F.col("_symbol").alias(symbol), "m.channel", "m.pos", "m.text", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+        .drop("_copy")
     )
 
 

@@ -29,6 +29,29 @@ def test_repeated_positions_count_once_per_message(table, rows):
     assert rows(got) == [("t", 3), ("u", 4)]
 
 
+def test_symbols_with_a_common_beginning_meet_few_messages(table, rows):
+    texts = [f"launch of moon{n:03d} today" for n in range(40)] + ["moon", "the moon launch"]
+    messages = table([(1, p, t) for p, t in enumerate(texts)], "channel int, pos int, text string")
+    symbols = [f"MOON{n:03d}" for n in range(0, 400, 3)] + ["moon", "un"]
+    got = social.match_symbols(messages, table([(s,) for s in symbols], "symbol string"))
+    want = sorted(((s.lower(), p) for s in symbols for p, t in enumerate(texts) if s.lower() in t), key=repr)
+    assert rows(got, "symbol", "pos") == want
+    grams = messages.select("pos", F.explode(social._grams("text")).alias("_gram"))
+    wanted = table([(s.lower(),) for s in symbols], "_symbol string")
+    chosen = social.rarest_grams(grams, wanted)
+    # Only symbols all of whose runs occur are left, none of them under the common beginning.
+    assert {r._symbol for r in chosen.filter("_gram in ('moo', 'oon')").collect()} == {"moon"}
+    assert grams.join(chosen.filter("_symbol like 'moon_%'"), "_gram").count() < 5 * 40
+
+
+def test_mentions_under_null_places_and_empty_tables(table, rows):
+    messages = [(None, 1, "doge"), (1, None, "doge"), (1, 2, None), (1, 3, "")]
+    schema = "channel int, pos int, text string"
+    tokens = table([("t", "DOGE"), ("u", None), ("v", "")], "token_address string, symbol string")
+    assert rows(social.count_mentions(table(messages, schema), tokens)) == [("t", 2), ("u", 0), ("v", 0)]
+    assert rows(social.count_mentions(table([], schema), tokens)) == [("t", 0), ("u", 0), ("v", 0)]
+
+
 def test_snippets_follow_channel_then_page(table):
     messages = [(c, p, f"  pump {c}-{p} " + "x" * 400) for c in (1, 2) for p in range(4)]
     got = social.sample_snippets(
