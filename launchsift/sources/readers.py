@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from launchsift.functions.schemas import ENVELOPE, EXPLORER_ROWS, LOG_ENTRY
 from launchsift.functions.text import strip
@@ -45,11 +46,19 @@ def read_launch_feed(
     ).withColumnRenamed("col", "item")
 
 
-def read_logs_since(
-    spark: SparkSession, path: str, last_block: int, latest_block: int, address: str, topic: str
-) -> DataFrame:
+#: Folder column of stored logs: the block divided by the width of a range.
+BLOCK_RANGE = "block_range"
+
+
+def write_logs(logs: DataFrame, path: str, width: int = 10_000) -> None:
+    """Appends log entries in folders of ``width`` blocks; entries without a block belong to none."""
+    ranged = logs.filter("block is not null").withColumn(BLOCK_RANGE, F.expr(f"block div {width}"))
+    ranged.write.mode("append").partitionBy(BLOCK_RANGE).parquet(path)
+
+
+def logs_between(logs: DataFrame, last_block: int, latest_block: int, address: str, topic: str) -> DataFrame:
     """Log entries of one contract and event in blocks (last_block, latest_block]."""
-    return spark.read.schema(LOG_ENTRY).parquet(path).filter(
+    return logs.filter(
         (F.col("block") > last_block)
         & (F.col("block") <= latest_block)
         & (F.col("address") == address)
@@ -57,6 +66,17 @@ def read_logs_since(
     )
 
 
+def read_logs_since(
+    spark: SparkSession, path: str, last_block: int, latest_block: int, address: str, topic: str, width: int | None = None
+) -> DataFrame:
+    """``logs_between`` of stored logs; with the ``width`` of their ranges only those folders are read."""
+    if width is None:
+        return logs_between(spark.read.schema(LOG_ENTRY).parquet(path), last_block, latest_block, address, topic)
+    stored = spark.read.schema(T.StructType([*LOG_ENTRY.fields, T.StructField(BLOCK_RANGE, T.LongType())])).parquet(path)
+    ranges = F.col(BLOCK_RANGE).between((last_block + 1) // width, latest_block // width)
+    return logs_between(stored.filter(ranges), last_block, latest_block, address, topic).drop(BLOCK_RANGE)
+
+
 def decode_envelopes(lines: DataFrame, line: str = "value") -> DataFrame:
     """Envelope columns of JSON lines; ``raw`` keeps the text and bad lines give nulls.
 
