@@ -101,6 +101,23 @@ def deliveries_by_tier(briefs: DataFrame, subs: DataFrame) -> DataFrame:
     )
 
 
+def deliveries_by_chat(briefs: DataFrame, subs: DataFrame) -> DataFrame:
+    """(chat_id, deliveries): how many of ``briefs`` go to each chat, by ``match_threshold`` itself.
+
+    Briefs of one tier go to the same chats, so one of each tier is matched and stands for their
+    number.  Chats that get nothing are left out.
+    """
+    tiers = briefs.groupBy(tier_rank(F.col("conviction_tier")).alias("_tier")).agg(
+        F.min_by("conviction_tier", "msg_id").alias("conviction_tier"), F.min("msg_id").alias("msg_id"), F.count(F.lit(1)).alias("_briefs")
+    )
+    # One row per tier: at most four rows, whatever the number of briefs.
+    return (
+        match_threshold(tiers, subs)
+        .join(F.broadcast(tiers.select("msg_id", "_briefs")), "msg_id")
+        .groupBy("chat_id").agg(F.sum("_briefs").alias("deliveries"))
+    )
+
+
 def undelivered(
     matches: DataFrame, sent: DataFrame, now: Column, memory_s: int = DELIVERY_MEMORY_S,
     bucket_s: float = DAY_S,

@@ -95,6 +95,19 @@ def by_tier(t):
     return delivery.deliveries_by_tier(tiered(t), t.subscribers())
 
 
+@add(
+    "q61_deliveries_by_chat",
+    with_views(
+        "v_brief", "v_sub", tiered=TIERED,
+        counted=f"select {RANK.format('conviction_tier')} tier, count(*) n from tiered group by 1",
+        body=f"""select chat_id, sum(n)::bigint deliveries from v_sub join counted on tier >= {RANK.format('threshold')}
+                where active group by chat_id""",
+    ),
+)
+def by_chat(t):
+    return delivery.deliveries_by_chat(tiered(t), t.subscribers())
+
+
 @add(
     "q61_match_by_chat",
     with_views(

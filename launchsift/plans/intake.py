@@ -10,6 +10,7 @@ from launchsift.functions.schemas import LONG, TEXT, struct
 from launchsift.operators import envelope, ingest, modeltext, validate
 from launchsift.plans.registry import Section
 from launchsift.plans.tables import address, joined, or_none, sql_address, sql_strip, with_views
+from launchsift.sources import readers
 
 section = Section()
 add = section.add
@@ -129,6 +130,25 @@ def launch_logs(t):
     return ingest.decode_launch_logs(logs)
 
 
+@add(
+    "q03_logs_since",
+    """select o_orderkey block, '0x' || lpad(o_custkey::varchar, 40, '0') creator from orders
+       where o_orderkey > 500 and o_orderkey <= (select max(o_orderkey) - 500 from orders)
+       and o_orderpriority <> '5-LOW' and o_orderstatus <> 'P'""",
+)
+def logs_since(t):
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    logs = t.orders.select(
+        F.col("o_orderkey").alias("block"),
+        F.when(priority != "5-LOW", F.lit("0xfeed")).otherwise(F.lit("0xother")).alias("address"),
+        F.when(status == "P", F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("launch"), F.lpad(F.col("o_custkey").cast("string"), 40, "0"))).alias("topics"),
+    )
+    head = t.orders.agg(F.max("o_orderkey")).first()[0] - 500
+    found = readers.logs_between(logs, 500, head, "0xfeed", "launch")
+    return found.select("block", F.concat(F.lit("0x"), F.col("topics")[1]).alias("creator"))
+
+
 NOW = "2024-02-01T00:00:00Z"
 
 

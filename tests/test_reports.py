@@ -182,3 +182,14 @@ def test_frames(table):
     review = {**frame, "payload": {"token_address": "0x" + "0" * 40, "reason": "r"}}
     df = table([(json.dumps(f),) for f in (frame, later, review, {"type": "hello"})] + [("not-json",)], "frame string")
     assert [r.msg_id[-1] for r in dashboard.parse_frames(df, newest=10).collect()] == ["A", "V"]
+
+
+def test_deliveries_by_chat_are_those_of_the_pairs(table, rows):
+    briefs = table([(n, t) for n, t in enumerate(["high", "HIGH", "degen", "odd", "Moderate", "speculative", None])], "msg_id bigint, conviction_tier string")
+    subs = table(
+        [(1, "degen", True), (2, "high", True), (3, "speculative", False), (4, "moderate", True), (5, "Speculative", True)],
+        "chat_id bigint, threshold string, active boolean",
+    )
+    pairs = delivery.match_threshold(briefs, subs).groupBy("chat_id").count()
+    assert rows(delivery.deliveries_by_chat(briefs, subs)) == rows(pairs)
+    assert rows(delivery.deliveries_by_chat(briefs.limit(0), subs)) == []
