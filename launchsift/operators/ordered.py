@@ -156,10 +156,13 @@ def trailing(
     aggregates: dict[str, Column],
     bucket_s: float = DAY_S,
 ) -> DataFrame:
-    """Aggregates over the ``back_s`` seconds up to and including each row.
+    """Counts over the ``back_s`` seconds up to and including each row.
 
     Only the rows in the last ``back_s`` of a bucket are repeated, as context for the
-    next bucket, so a key with most of the rows is still spread over its buckets.
+    next bucket, so a key with most of the rows is still spread over its buckets.  A
+    count is that of all rows of the cell up to a row less that of the rows out of reach:
+    both frames only grow, where a sliding frame is summed anew for every row.
+    ``aggregates`` are counts, or sums of whole numbers without nulls.
     """
     if back_s > bucket_s:
         raise ValueError("the look-back must not exceed the bucket width")
@@ -178,9 +181,11 @@ def trailing(
             ),
         )
     )
-    frame = Window.partitionBy(*keys, BUCKET).orderBy("_at").rangeBetween(-back, 0)
+    inside = Window.partitionBy(*keys, BUCKET).orderBy("_at")
+    upto = inside.rangeBetween(Window.unboundedPreceding, 0)
+    gone = inside.rangeBetween(Window.unboundedPreceding, -back - 1)
     for name, value in aggregates.items():
-        spread = spread.withColumn(name, value.over(frame))
+        spread = spread.withColumn(name, value.over(upto) - F.coalesce(value.over(gone), F.lit(0)))
     return spread.filter(F.col(BUCKET) == F.col("_home")).drop(BUCKET, "_home", "_at")
 
 
