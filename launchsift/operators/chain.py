@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from launchsift.functions.constants import (
     CREATOR_PAGE,
@@ -16,7 +17,7 @@ from launchsift.functions.constants import (
     ZERO_ADDRESS,
 )
 from launchsift.functions.text import blank_to_null, round_even, strip
-from launchsift.operators.skew import split_count, top_k_per_group
+from launchsift.operators.skew import first_k_per_group, split_count
 
 TOKEN = "token_address"
 
@@ -26,6 +27,18 @@ def _number(text: str, default: str = "0"):
     return F.coalesce(blank_to_null(F.col(text)), F.lit(default)).try_cast("double")
 
 
+def _places(rows: DataFrame) -> list[Column]:
+    """``pos`` as plain columns in its order: a sort that compares structs makes an object for each comparison."""
+    kind = rows.schema["pos"].dataType
+    parts = [f"pos.{name}" for name in kind.names] if isinstance(kind, StructType) else ["pos"]
+    return [F.col("pos").isNotNull().alias("_placed"), *[F.col(p).alias(f"_p{i}") for i, p in enumerate(parts)]]
+
+
+def _in_order(places: list[Column], nulls_last: bool = False) -> list[Column]:
+    placed = F.col("_placed").desc() if nulls_last else F.col("_placed")
+    return [placed, *[F.col(f"_p{i}") for i in range(len(places) - 1)]]
+
+
 def holder_concentration(
     holders: DataFrame, page: int = HOLDER_PAGE, k: int = HOLDER_TOP, token: str = TOKEN
 ) -> DataFrame:
@@ -34,9 +47,9 @@ def holder_concentration(
     ``holders`` has (token, pos, quantity as text) in page order.  One malformed
     quantity zeroes its token.
     """
-    listed = top_k_per_group(
-        holders.withColumn("_q", _number("quantity")), [token], [F.col("pos")], page, rank="_n"
-    )
+    places = _places(holders)
+    read = holders.select(token, *places, _number("quantity").alias("_q"))
+    listed = first_k_per_group(read, [token], _in_order(places), page, rank="_n")
     total, top = F.col("_total"), F.col("_top")
     return (
         listed.groupBy(token)
@@ -60,7 +73,7 @@ def recent_transfers(
     transfers: DataFrame, n: int = TRANSFER_PAGE, token: str = TOKEN
 ) -> DataFrame:
     """The first ``n`` transfers per token in page order (newest first)."""
-    return top_k_per_group(transfers, [token], [F.col("pos")], n, rank="_n")
+    return first_k_per_group(transfers, [token], [F.col("pos")], n, rank="_n")
 
 
 def tx_velocity(transfers: DataFrame, n: int = TRANSFER_PAGE, unit_s: float = 60.0, token: str = TOKEN) -> DataFrame:
@@ -95,7 +108,7 @@ def _is_whale(threshold: float):
     decimals = F.coalesce(
         blank_to_null(F.col("decimals")), F.lit(str(DEFAULT_DECIMALS))
     ).try_cast("int")
-    return _number("value") / F.pow(F.lit(10.0), decimals) > threshold
+    return F.try_divide(_number("value"), F.pow(F.lit(10.0), decimals)) > threshold
 
 
 def whale_entries(
@@ -118,27 +131,36 @@ def transfer_metrics(
     unit_s: float = 60.0,
     token: str = TOKEN,
 ) -> DataFrame:
-    """Velocity and whale count from one pass over the page."""
+    """Velocity and whale count from one pass over the page.
+
+    Times and amounts are read before the page is cut: two numbers are sorted instead of three texts.
+    """
     stamp = F.coalesce(F.col("time_stamp"), F.lit("0"))
-    listed = recent_transfers(transfers, n, token).withColumn("_t", strip(stamp).try_cast("bigint"))
-    whales = F.count_if(F.coalesce(_is_whale(threshold), F.lit(False))).cast("int")
+    places = _places(transfers)
+    read = transfers.select(
+        token, *places, strip(stamp).try_cast("bigint").alias("_t"),
+        F.coalesce(_is_whale(threshold), F.lit(False)).alias("_whale"),
+    )
     return (
-        listed.groupBy(token)
-        .agg(*_velocity_parts(), whales.alias("whale_entries"))
+        first_k_per_group(read, [token], _in_order(places), n, rank="_n").groupBy(token)
+        .agg(*_velocity_parts(), F.count_if("_whale").cast("int").alias("whale_entries"))
         .select(token, _velocity_value(unit_s).alias("velocity"), "whale_entries")
     )
 
 
 def contract_meta(contracts: DataFrame, token: str = TOKEN) -> DataFrame:
     """Verification flag and creator from the first contract row of a token."""
-    first = contracts.groupBy(token).agg(
-        F.min_by(F.struct("source_code", "creator"), "pos").alias("_c")
+    # Not an aggregate: a smallest row of texts is kept by sorting and one interpreted step a row.
+    places = _places(contracts)
+    rows = contracts.select(
+        token, *places, (F.length(F.coalesce("source_code", F.lit(""))) > 0).alias("_verified"), "creator"
     )
+    first = first_k_per_group(rows, [token], _in_order(places, nulls_last=True), 1, rank="_n")
     return first.select(
         token,
-        (F.length(F.coalesce("_c.source_code", F.lit(""))) > 0).alias("verified"),
+        (F.col("_placed") & F.col("_verified")).alias("verified"),
         F.lower(
-            F.coalesce(blank_to_null(F.col("_c.creator")), F.lit(ZERO_ADDRESS))
+            F.coalesce(F.when(F.col("_placed"), blank_to_null(F.col("creator"))), F.lit(ZERO_ADDRESS))
         ).alias("creator_address"),
     )
 

@@ -16,10 +16,23 @@ def split_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def first_k_per_group(
+    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
+) -> DataFrame:
+    """The first ``k`` rows of every group with their rank, in one round.
+
+    Spark's window-group limit keeps every input task's own first ``k`` before the only
+    shuffle, so of a hot group at most ``k`` rows a task meet in the ranking.  Meant for
+    narrow rows: each is sorted and sent once.
+    """
+    ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(rank, ranked).filter(F.col(rank) <= k)
+
+
 def top_k_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
-    """The first ``k`` rows of every group with their rank.
+    """The first ``k`` rows of every group with their rank, for few groups of wide rows.
 
     Two rounds: each input task keeps its own first ``k`` (Spark prunes before the
     shuffle), about sqrt(tasks) groups of tasks are reduced in parallel, and only their
@@ -27,15 +40,9 @@ def top_k_per_group(
     task, and the result does not depend on how rows were spread.
     """
     groups = max(2, int(split_count(df) ** 0.5))
-    first = Window.partitionBy(*keys, SALT).orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    survivors = (
-        df.withColumn(SALT, F.spark_partition_id() % groups)
-        .withColumn(rank, F.row_number().over(first))
-        .filter(F.col(rank) <= k)
-        .drop(rank, SALT)
-    )
-    return survivors.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k)
+    own = df.withColumn(SALT, F.spark_partition_id() % groups)
+    survivors = first_k_per_group(own, [*keys, SALT], order, k, rank).drop(rank, SALT)
+    return first_k_per_group(survivors, keys, order, k, rank)
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:

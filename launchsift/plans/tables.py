@@ -159,7 +159,8 @@ class Tables:
 
 def address(number: Column) -> Column:
     # Low digits first: real addresses differ early, and sorting relies on that.
-    return F.concat(F.lit("0x"), F.reverse(F.lpad(F.lower(F.hex(number)), 40, "0")))
+    # Filled up last: only the digits are turned round, and no zero is copied by itself.
+    return F.substring(F.concat(F.lit("0x"), F.reverse(F.lower(F.hex(number))), F.lit("0" * 40)), 1, 42)
 
 
 def joined(values: Column) -> Column:
