@@ -8,8 +8,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings that can be changed on a running session.  Sizes follow the cluster: the
-# shuffle width is left alone so that its owner can scale it.
+# Settings that can be changed on a running session.  The number of tasks follows the
+# cluster: the shuffle width is left alone so that its owner can scale it.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,9 +17,18 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# What one task reads, unless the owner has set it.  Packed numbers grow tenfold as rows with
+# addresses that are hashed and sorted, so Spark's own 128 and 64 MB may need gigabytes in a task.
+SHARES = {
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    for key, value in SHARES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

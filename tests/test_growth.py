@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from launchsift import session
 from launchsift.operators import chain, skew, spend
 from launchsift.plans.tables import address
 
@@ -68,3 +69,14 @@ def test_addresses(table):
     df = table([(0,), (26,), (2**40 + 11,), (-1,), (None,)], "n bigint")
     want = F.concat(F.lit("0x"), F.reverse(F.lpad(F.lower(F.hex("n")), 40, "0")))
     assert all(r.got == r.want for r in df.select(address(F.col("n")).alias("got"), want.alias("want")).collect())
+
+
+def test_task_shares_leave_the_owners_choice(spark):
+    own = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    other = spark.newSession()
+    other.conf.set(own, "8m")
+    session.prepare(other)
+    assert other.conf.get(own) == "8m"
+    other.conf.unset(own)
+    session.prepare(other)
+    assert other.conf.get(own) == session.SHARES[own]
